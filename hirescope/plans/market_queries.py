@@ -348,11 +348,11 @@ def a14(spark, sf_dir):
     return rows.groupBy(market.day_bucket(d).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("A16_stars", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS uid, ts AS at, event_type <> 'error' AS is_on,
+@query("A16_stars", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS uid, ts AS seen_at, event_type <> 'error' AS is_on,
     event_type AS title, event_id FROM events),
-    offs AS (SELECT uid, max(at) AS off_at FROM e WHERE NOT is_on GROUP BY uid)
-    SELECT e.uid, min(at) AS starred_at, max_by(title, (at, title)) AS title FROM e LEFT JOIN offs USING (uid)
-    WHERE is_on AND (off_at IS NULL OR at > off_at) GROUP BY e.uid""")
+    offs AS (SELECT uid, max(seen_at) AS off_at FROM e WHERE NOT is_on GROUP BY uid)
+    SELECT e.uid, min(seen_at) AS starred_at, max_by(title, (seen_at, title)) AS title FROM e LEFT JOIN offs USING (uid)
+    WHERE is_on AND (off_at IS NULL OR seen_at > off_at) GROUP BY e.uid""")
 def a16(spark, sf_dir):
     from .views import table
     ev = table(spark, sf_dir, "events").select(
