@@ -35,6 +35,7 @@ def midpoint(low: Column, high: Column) -> Column:
 
 def elapsed_days(later: Column, earlier: Column) -> Column:
     """Elapsed days, null when either is unknown."""
+    later, earlier = later.cast("timestamp"), earlier.cast("timestamp")
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(86400e6)
 
 

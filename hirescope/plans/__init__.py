@@ -8,7 +8,7 @@ from .registry import CHECKS, QUERIES, Query
 
 
 def _load() -> None:
-    from . import market_queries  # noqa: F401
+    from . import history_queries, market_queries, score_queries  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:

@@ -84,3 +84,50 @@ APPLICATIONS_SQL = _render(_APPLICATIONS, "", "VARCHAR")
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     _register(spark, sf_dir, "orders", "customer")
     return spark.sql(_render(_APPLICATIONS, "", "STRING"))
+
+
+# A templated posting body over every sighting, so that text rules fire on data
+# whose right answer follows from the columns.
+_ADVERTS = """
+SELECT s.*, concat(
+    CASE CAST(qty AS INT) % 4
+        WHEN 0 THEN concat('You bring ', CAST(line AS {text}), '-', CAST(line + 2 AS {text}), ' years of experience with SQL and Python. ')
+        WHEN 1 THEN concat('Minimum ', CAST(line AS {text}), '+ years required. ')
+        WHEN 2 THEN 'Entry level. We will train. '
+        ELSE concat('Celebrating ', CAST(CAST(qty AS INT) AS {text}), ' years in business. ') END,
+    CASE line % 3 WHEN 0 THEN 'Requirements: Terraform. '
+        WHEN 1 THEN 'Requirements: SQL, Terraform and Kubernetes. ' ELSE '' END,
+    CASE ord % 3 WHEN 0 THEN 'Bachelor''s degree in statistics. '
+        WHEN 1 THEN 'Master''s degree required. ' ELSE '' END,
+    CASE ord % 4 WHEN 0 THEN concat('Salary range: $', CAST(40 + CAST(qty AS INT) AS {text}), 'k - $', CAST(60 + CAST(qty AS INT) AS {text}), 'k. ')
+        WHEN 1 THEN concat('Pay: $', CAST(20 + CAST(qty AS INT) % 20 AS {text}), '.50/hr. ')
+        WHEN 2 THEN '' ELSE concat('Compensation $', CAST(30 + CAST(qty AS INT) AS {text}), 'k to start. ') END
+    ) AS description,
+    CASE ord % 8 WHEN 0 THEN 'Data Analyst' WHEN 1 THEN 'Senior Data Analyst'
+        WHEN 2 THEN 'Junior Reporting Analyst' WHEN 3 THEN 'Business Analyst'
+        WHEN 4 THEN 'Warehouse Associate' WHEN 5 THEN 'Data Engineer / Senior Data Engineer'
+        WHEN 6 THEN 'Receptionist' ELSE 'Ops Analyst' END AS role_title,
+    CASE line % 4 WHEN 0 THEN 'Columbus, OH' WHEN 1 THEN 'Remote' WHEN 2 THEN 'Boise, ID'
+        ELSE 'Toronto, Canada' END AS location
+FROM ({sightings}) s
+"""
+
+
+def _adverts(days: str, text: str) -> str:
+    return _render(_ADVERTS.replace("{sightings}", _SIGHTINGS), days, text)
+
+
+ADVERTS_SQL = _adverts("to_days(CAST(l_quantity AS INT))", "VARCHAR")
+
+
+def adverts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sightings with a body, a scoring title and a location; no stated pay."""
+    from pyspark.sql import functions as F
+
+    _register(spark, sf_dir, "lineitem", "part", "supplier", "nation")
+    df = spark.sql(_adverts("make_dt_interval(CAST(l_quantity AS INT))", "STRING"))
+    none = F.lit(None).cast("double")
+    return df.withColumns({
+        "title": F.col("role_title"), "salary_min": none, "salary_max": none, "remote": F.lit(False),
+        "first_seen": F.col("run_ts").cast("timestamp"), "posted_at": F.col("posted_at").cast("timestamp"),
+    }).drop("role_title")
