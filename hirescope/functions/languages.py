@@ -122,6 +122,10 @@ def language_asks(title: Column, binding: Column, tail: Column) -> Column:
     )
     every = F.concat(in_title, _asks_in(F.lower(binding), False), _asks_in(F.lower(tail), True))
 
+    none_asked = F.struct(
+        F.array().cast("array<string>").alias("must"), F.array().cast("array<string>").alias("nice")
+    )
+
     def split(asks: Column) -> Column:
         names = F.transform(asks, lambda a: a["name"])
         first = F.filter(asks, lambda a, i: F.array_position(names, a["name"]) == i + 1)
@@ -133,7 +137,10 @@ def language_asks(title: Column, binding: Column, tail: Column) -> Column:
             ),
         )
 
-    return let(every, split)
+    # Most postings name no language, and one look settles that.
+    text = F.lower(F.concat_ws("\n", title, binding, tail))
+    named = text.rlike(NAME + "|" + BILINGUAL + "|" + FRENCH_TITLE)
+    return F.when(named, let(every, split)).otherwise(none_asked)
 
 
 def unspoken(names: Column, languages: Iterable[str]) -> Column:

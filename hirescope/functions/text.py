@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Whitespace as Unicode means it, including the non-breaking space.
@@ -25,6 +25,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def each(df: DataFrame, array: Column, alias: str, *keep: Column | str, pos: str = "") -> DataFrame:
+    """One row per element. The outer form with a null test on the element:
+    a plain explode makes the optimizer test the size of ``array`` below the
+    projection, which would compute an expensive array twice."""
+    gen = F.posexplode_outer(array).alias(pos, alias) if pos else F.explode_outer(array).alias(alias)
+    return df.select(*keep, gen).filter(F.col(alias).isNotNull())
+
+
 def squash(c: Column | str) -> Column:
     """Null to '', whitespace runs to one space, ends trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), SPACE + "+", " "))
@@ -68,14 +76,11 @@ NEVER = r"(?!)"
 
 
 def mentions(c: Column, words: Iterable[str]) -> Column:
-    """True when any of the words is contained (plain substring test)."""
+    """True when any of the words is contained, as one literal alternation."""
     words = [w for w in words if w]
     if not words:
         return F.lit(False)
-    test = F.lit(False)
-    for w in words:
-        test = test | c.contains(w)
-    return test
+    return c.contains(words[0]) if len(words) == 1 else c.rlike(either(words))
 
 
 def hits(c: Column, words: Iterable[str]) -> Column:

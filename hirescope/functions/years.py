@@ -49,12 +49,19 @@ GATE_CUE = (
 TAIL_WINDOW, GATE_WINDOW, CLAUSE_WINDOW, MARKER_FROM, MAX_YEARS = 60, 90, 140, 200, 20
 
 
+BANDS = (
+    "array<struct<low:int,high:int,history:boolean,gated:boolean,tail_gated:boolean,clause:string>>"
+)
+
+
 def numerals(text: Column) -> Column:
     """Spelled numbers (with a bracketed copy) become digits; years offered in
     place of a degree are taken out."""
+    spelled = text
     for word, n in NUMBER_WORDS.items():
-        text = F.regexp_replace(text, rf"(?i)\b{word}\b(?:\s*\(\s*\d{{1,2}}\s*\))?", str(n))
-    return F.regexp_replace(text, DEGREE_SWAP, " ")
+        spelled = F.regexp_replace(spelled, rf"(?i)\b{word}\b(?:\s*\(\s*\d{{1,2}}\s*\))?", str(n))
+    any_word = rf"(?i)\b(?:{'|'.join(NUMBER_WORDS)})\b"
+    return F.regexp_replace(F.when(text.rlike(any_word), spelled).otherwise(text), DEGREE_SWAP, " ")
 
 
 def _marker_at(body: Column) -> Column:
@@ -110,10 +117,11 @@ def year_bands(text: Column) -> Column:
                 ).alias("clause"),
             )
 
-        return F.filter(
+        read_all = F.filter(
             F.transform(spans(t, YEARS), one),
             lambda b: (b["low"] <= MAX_YEARS) & (b["high"] > 0),
         )
+        return F.when(t.rlike("(?i)year"), read_all).otherwise(F.array().cast(BANDS))
 
     return let(text, read)
 
@@ -135,7 +143,10 @@ def month_bands(text: Column) -> Column:
                 ).alias("history"),
             )
 
-        return F.filter(F.transform(spans(t, MONTHS), one), lambda b: ~b["history"])
+        read_all = F.filter(F.transform(spans(t, MONTHS), one), lambda b: ~b["history"])
+        return F.when(t.rlike("(?i)month"), read_all).otherwise(
+            F.array().cast("array<struct<low:int,high:int,history:boolean>>")
+        )
 
     return let(text, read)
 

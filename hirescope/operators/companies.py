@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..functions.text import alnum, col, let, trailing_dropped, word_list
+from ..functions.text import alnum, col, each, let, trailing_dropped, word_list
 
 # --- fixed values ---------------------------------------------------------------------
 DEPARTMENT_PREFIX = (
@@ -245,9 +245,8 @@ def anchors(pages: DataFrame) -> DataFrame:
     """P20: (page_id, url, pos, href, label) of every anchor of every page."""
     hrefs = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))
     inner = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2))
-    return pages.select(
-        "page_id", "url",
-        F.posexplode(F.arrays_zip(hrefs.alias("href"), inner.alias("inner"))).alias("pos", "a"),
+    return each(
+        pages, F.arrays_zip(hrefs.alias("href"), inner.alias("inner")), "a", "page_id", "url", pos="pos"
     ).select("page_id", "url", "pos", "a.href", F.col("a.inner").alias("inner"))
 
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col, either, let
+from ..functions.text import col, each, either, let
 from ..session import checkpointed
 
 WORD = r"\.?[A-Za-z0-9+#]+(?:[.\-/&'][A-Za-z0-9+#]+)*"
@@ -118,7 +118,7 @@ def match_phrases(
     The n-grams meet the phrases in an equi-join; only matches are gathered per
     text, and a text's matches are bounded by its own words.
     """
-    grams = texts.select(*key, F.explode(ngrams(text, longest)).alias("g")).select(
+    grams = each(texts, ngrams(text, longest), "g", *key).select(
         *key, "g.*", F.lower("g.phrase").alias("low")
     )
     blind = phrases.filter(~F.col("cased")).select(F.col("phrase").alias("low"), F.col("term").alias("_t"))
@@ -510,7 +510,7 @@ def evidence(documents: DataFrame, terms: Sequence[Term], known_words: DataFrame
     )
     docs = documents.select("doc_id", "text", lines.alias("lines"))
     by_id = F.create_map(*[F.lit(x) for t in terms for x in (t.id, term_pattern(t.surfaces()))])
-    found = docs.select("doc_id", "lines", F.explode(find_terms("text", terms)).alias("t")).withColumn(
+    found = each(docs, find_terms("text", terms), "t", "doc_id", "lines").withColumn(
         "_rx", F.element_at(by_id, F.col("t.term"))
     )
     line = F.try_element_at(F.filter("lines", lambda x: F.regexp_like(x, F.col("_rx"))), F.lit(1))
@@ -518,22 +518,21 @@ def evidence(documents: DataFrame, terms: Sequence[Term], known_words: DataFrame
     termed = found.select("doc_id", F.lit("term").alias("kind"), F.col("t.term").alias("name"),
                           F.col("t.n").cast("long").alias("n"), F.coalesce(snippet, F.lit("")).alias("snippet"))
     names = (
-        documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(PRODUCT_NAME), F.lit(1))).alias("name"))
+        each(documents, F.regexp_extract_all("text", F.lit(PRODUCT_NAME), F.lit(1)), "name", "doc_id")
         .filter(~F.col("name").isin(*NOT_PRODUCTS, *STOP_NAMES))
         .join(known_words.select(F.lower("word").alias("_w")).distinct(), F.lower("name") == F.col("_w"), "left_anti")
         .groupBy("doc_id", "name").agg(F.count("*").alias("n"))
         .filter(F.col("n") >= 2)
         .select("doc_id", F.lit("name").alias("kind"), "name", "n", F.lit("").alias("snippet"))
     )
-    certs = docs.select(
-        "doc_id",
-        F.explode(
-            F.slice(
-                F.array_distinct(
-                    F.filter("lines", lambda x: F.length(x).between(6, 140) & x.rlike(CERTIFICATE))
-                ), 1, 10,
-            )
-        ).alias("name"),
+    certs = each(
+        docs,
+        F.slice(
+            F.array_distinct(
+                F.filter("lines", lambda x: F.length(x).between(6, 140) & x.rlike(CERTIFICATE))
+            ), 1, 10,
+        ),
+        "name", "doc_id",
     ).select("doc_id", F.lit("certificate").alias("kind"), "name", F.lit(1).cast("long").alias("n"),
              F.lit("").alias("snippet"))
     return termed.unionByName(names).unionByName(certs)

@@ -8,7 +8,9 @@ from .registry import CHECKS, QUERIES, Query
 
 
 def _load() -> None:
-    from . import history_queries, market_queries, score_queries  # noqa: F401
+    from . import (  # noqa: F401
+        application_queries, clean_queries, history_queries, market_queries, score_queries, skill_queries, text_queries,
+    )
 
 
 def all_queries() -> dict[str, Query]:

@@ -57,9 +57,17 @@ def _render(sql: str, days: str, text: str) -> str:
 SIGHTINGS_SQL = _render(_SIGHTINGS, "to_days(CAST(l_quantity AS INT))", "VARCHAR")
 
 
-def _register(spark: SparkSession, sf_dir: str, *names: str) -> None:
+def spread(df: DataFrame) -> DataFrame:
+    """A table small enough to sit in fewer splits than there are cores is dealt
+    out over them; a table of many splits is left where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _register(spark: SparkSession, sf_dir: str, *names: str, spread_first: str = "") -> None:
     for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        df = table(spark, sf_dir, name)
+        (spread(df) if name == spread_first else df).createOrReplaceTempView(name)
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,10 +132,37 @@ def adverts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sightings with a body, a scoring title and a location; no stated pay."""
     from pyspark.sql import functions as F
 
-    _register(spark, sf_dir, "lineitem", "part", "supplier", "nation")
+    _register(spark, sf_dir, "lineitem", "part", "supplier", "nation", spread_first="lineitem")
     df = spark.sql(_adverts("make_dt_interval(CAST(l_quantity AS INT))", "STRING"))
     none = F.lit(None).cast("double")
     return df.withColumns({
         "title": F.col("role_title"), "salary_min": none, "salary_max": none, "remote": F.lit(False),
         "first_seen": F.col("run_ts").cast("timestamp"), "posted_at": F.col("posted_at").cast("timestamp"),
     }).drop("role_title")
+
+
+# Job descriptions in the four shapes boards send, over every order: markup,
+# plain lines, one flattened line, and flattened markdown.
+_JDS = """
+SELECT o_orderkey AS jd, CAST(o_orderkey AS {text}) AS uid, c_name AS company, c_mktsegment AS segment,
+    o_orderpriority AS priority, o_orderkey % 9 + 1 AS y, o_orderkey % 4 AS shape,
+    CASE o_orderkey % 5 WHEN 0 THEN 'Senior Data Analyst II - Remote' WHEN 1 THEN 'Analyst, Supply Chain'
+        WHEN 2 THEN 'Help Desk Technician' WHEN 3 THEN 'Data Engineers (Hybrid)' ELSE 'Chief of Staff' END AS title,
+    CASE o_orderkey % 4
+    WHEN 0 THEN concat('<h2>Requirements</h2><ul><li>SQL and Excel</li><li>', CAST(o_orderkey % 9 + 1 AS {text}),
+        '+ years of Python</li><li>Tableau preferred</li></ul><p><b>Benefits</b></p><p>Dental and vision</p>')
+    WHEN 1 THEN concat('About us{nl}We make things for ', c_mktsegment, '.{nl}Requirements:{nl}- SQL{nl}- ',
+        CAST(o_orderkey % 9 + 1 AS {text}), ' years of Excel{nl}Nice to have:{nl}- Power BI{nl}#LI-AB{nl}We are hiring.')
+    WHEN 2 THEN concat('We do ', lower(c_mktsegment), '. Required Qualifications ', CAST(o_orderkey % 9 + 1 AS {text}),
+        '+ years of SQL. Preferred Qualifications Tableau and Python.')
+    ELSE concat('**Primary Responsibilities** - Own the reports. - Build dashboards. **Qualifications** + Bachelor''s degree + ',
+        CAST(o_orderkey % 9 + 1 AS {text}), ' years of SQL + Kubernetes') END AS description,
+    CAST(floor(o_totalprice) AS INT) % 101 AS score, o_orderkey % 3 = 0 AS applied
+FROM orders JOIN customer ON o_custkey = c_custkey
+"""
+JDS_SQL = _render(_JDS, "", "VARCHAR").replace("'{nl}", "chr(10) || '").replace("{nl}", "' || chr(10) || '")
+
+
+def jds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _register(spark, sf_dir, "orders", "customer", spread_first="orders")
+    return spark.sql(_render(_JDS, "", "STRING").replace("{nl}", "\\n"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions.html import clean_text, unescape
 from ..functions.places import STATES
-from ..functions.text import let, mentions, squash
+from ..functions.text import each, let, mentions, squash
 from ..operators.companies import PLACEHOLDERS, deslug
 from ..operators.market import stamp
 from ..schema import POSTING, conform
@@ -44,7 +44,7 @@ def _rows(payloads: DataFrame, schema: str, path: str = "") -> DataFrame:
     parsed = F.from_json("payload", schema)
     items = parsed[path] if path else parsed
     keep = [c for c in ("company", "slug", "host", "tenant", "site", "run_id") if c in payloads.columns]
-    return payloads.select(*keep, F.explode(items).alias("j"))
+    return each(payloads, items, "j", *keep)
 
 
 def corrupt_payloads(payloads: DataFrame, schema: str) -> DataFrame:
@@ -342,8 +342,8 @@ def sitemap(
 ) -> DataFrame:
     """Every job link of a sitemap; with local terms, only links that name
     one or whose title has a keyword."""
-    blocks = payloads.select(
-        "company", F.explode(F.regexp_extract_all("payload", F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1))).alias("b")
+    blocks = each(
+        payloads, F.regexp_extract_all("payload", F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1)), "b", "company"
     ).select(
         "company",
         F.regexp_extract("b", r"<loc>\s*([^<\s]+)\s*</loc>", 1).alias("url"),
@@ -376,9 +376,8 @@ def job_nodes(pages: DataFrame) -> DataFrame:
     """(page_id, url, pos, node) every JobPosting node of every page. The
     document may be one node, a list, or wrapped in @graph; the type may be a
     list. Shapes vary, so nodes stay VARIANT."""
-    docs = pages.select(
-        "page_id", "url",
-        F.posexplode(F.regexp_extract_all("html", F.lit(JSONLD), F.lit(1))).alias("_doc", "_raw"),
+    docs = each(
+        pages, F.regexp_extract_all("html", F.lit(JSONLD), F.lit(1)), "_raw", "page_id", "url", pos="_doc"
     ).select("page_id", "url", "_doc", F.try_parse_json("_raw").alias("_v")).filter(F.col("_v").isNotNull())
     listed = F.try_variant_get("_v", "$", "array<variant>")
     tops = docs.select(
@@ -594,9 +593,7 @@ def himalayas(payloads: DataFrame) -> DataFrame:
 
 def weworkremotely(payloads: DataFrame) -> DataFrame:
     """An RSS feed; titles read 'Company: Role'."""
-    items = payloads.select(
-        F.explode(F.regexp_extract_all("payload", F.lit(r"(?is)<item\b[^>]*>(.*?)</item>"), F.lit(1))).alias("i")
-    )
+    items = each(payloads, F.regexp_extract_all("payload", F.lit(r"(?is)<item\b[^>]*>(.*?)</item>"), F.lit(1)), "i")
 
     def tag(name: str) -> Column:
         raw = F.regexp_extract("i", rf"(?is)<{name}\b[^>]*>(.*?)</{name}>", 1)
@@ -687,9 +684,7 @@ USAJOBS = (
 def usajobs(payloads: DataFrame) -> DataFrame:
     """The first pay row, the first three places."""
     d = "j.MatchedObjectDescriptor"
-    rows = payloads.select(
-        F.explode(F.from_json("payload", USAJOBS)["SearchResult"]["SearchResultItems"]).alias("j")
-    )
+    rows = each(payloads, F.from_json("payload", USAJOBS)["SearchResult"]["SearchResultItems"], "j")
     pay = F.try_element_at(f"{d}.PositionRemuneration", F.lit(1))
     body = F.array_join(
         F.filter(F.array(F.col(f"{d}.UserArea.Details.JobSummary"), F.col(f"{d}.QualificationSummary")),
@@ -738,7 +733,7 @@ def hiringcafe(payloads: DataFrame) -> DataFrame:
     """Results or hits; the fields sit in job_information or on the row."""
     doc = F.from_json("payload", f"results {HIRINGCAFE_ROW}, hits {HIRINGCAFE_ROW}")
     items = F.when(F.size(doc["results"]) > 0, doc["results"]).otherwise(doc["hits"])
-    rows = payloads.select(F.explode(items).alias("j"))
+    rows = each(payloads, items, "j")
     inner = F.col("j.job_information").isNotNull()
     field = lambda n: F.when(inner, F.col(f"j.job_information.{n}")).otherwise(F.col(f"j.{n}"))
     return _postings(
