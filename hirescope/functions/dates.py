@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from .text import col
 
 # --- fixed values: the written forms, tried in order ------------------------------
-WRITTEN = ("EEE, dd MMM yyyy HH:mm:ss Z", "EEE, dd MMM yyyy HH:mm:ss z", "yyyy-MM-dd HH:mm:ss",
-           "yyyy-MM-dd", "MM/dd/yyyy")
+MAIL = r"^(?:[A-Za-z]{3},\s+)(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{2}:\d{2}:\d{2}) (GMT|UTC|Z|[+-]\d{4})$"
+MAIL_FORM = "d MMM yyyy HH:mm:ss xx"
+PLAIN_FORMS = (
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+)
 EPOCH_MS_FROM = 1e11
 
 
@@ -29,12 +34,12 @@ def parse_date(value: Column | str) -> Column:
         text.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:[+-]\d{2}:?\d{2})?)?$"),
         text.try_cast("timestamp"),
     )
-    mail = F.regexp_replace(text, r"\b(GMT|UTC)$", "+0000")
-    mail = F.regexp_replace(mail, r"^([A-Za-z]{3}, )(\d) ", "$10$2 ")
-    forms = [F.try_to_timestamp(mail, F.lit(WRITTEN[0]))] + [
-        F.try_to_timestamp(text, F.lit(f)) for f in WRITTEN[2:]
-    ]
-    return F.coalesce(iso, *forms)
+    zoned = F.regexp_replace(F.regexp_replace(text, r"\b(GMT|UTC)$", "+0000"), r"\+00:00$", "+0000")
+    mail = F.when(
+        zoned.rlike(MAIL), F.try_to_timestamp(F.regexp_replace(zoned, MAIL, "$1 $2 $3 $4 $5"), F.lit(MAIL_FORM))
+    )
+    plain = [F.when(text.rlike(rx), F.try_to_timestamp(text, F.lit(f))) for rx, f in PLAIN_FORMS]
+    return F.coalesce(iso, mail, *plain)
 
 
 def posted_ago(text: Column | str, as_of: Column) -> Column:

@@ -50,7 +50,7 @@ def region(location: Column | str, remote: Column | str) -> Column:
     remote = F.col(remote) if isinstance(remote, str) else remote
 
     def decide(text: Column) -> Column:
-        pieces = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+        pieces = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda p: p != "")
         states = F.filter(
             F.transform(
                 pieces,

@@ -9,7 +9,8 @@ from .registry import CHECKS, QUERIES, Query
 
 def _load() -> None:
     from . import (  # noqa: F401
-        application_queries, clean_queries, history_queries, market_queries, score_queries, skill_queries, text_queries,
+        application_queries, clean_queries, history_queries, market_queries, score_queries,
+        skill_queries, source_queries, stream_queries, text_queries,
     )
 
 

@@ -130,7 +130,7 @@ def p15(spark, sf_dir):
     return sightings(spark, sf_dir).select("arrival", geo.state_named(loc).alias("state"), geo.place_named(loc, ("columbus", "new kent"), "oh").alias("place"))
 
 
-@query("P16_domain_of", """SELECT page_id, regexp_extract(url, '//([^/?#:]*)', 1) AS host, CASE page_id % 3 WHEN 0 THEN 'x.com' WHEN 1 THEN 'school.edu' ELSE '' END AS other FROM pages""")
+@query("P16_domain_of", """SELECT page_id, regexp_replace(regexp_extract(url, '//([^/?#:]*)', 1), '^www\\.', '') AS host, CASE page_id % 3 WHEN 0 THEN 'x.com' WHEN 1 THEN 'school.edu' ELSE '' END AS other FROM pages""")
 def p16(spark, sf_dir):
     other = F.expr("case page_id % 3 when 0 then 'www.careers.x.com/a?b' when 1 then 'https://maps.deep.school.edu:80/x' else 'nowhere' end")
     return table(spark, sf_dir, "pages").select("page_id", companies.domain_of("url").alias("host"), companies.domain_of(other).alias("other"))
@@ -189,7 +189,7 @@ def p21(spark, sf_dir):
     return sightings(spark, sf_dir).select("arrival", companies.four_places(loc, "Columbus").alias("place"), companies.first_number(text).alias("pay"))
 
 
-@query("P22_plain_text", _S + """ SELECT arrival, title || chr(10) || '- ' || company || chr(10) || chr(10) || 'A & B' AS page, title || chr(10) || chr(10) || '- ' || company || chr(10) || chr(10) || 'A & B' AS jd FROM s""")
+@query("P22_plain_text", _S + """ SELECT arrival, title || chr(10) || chr(10) || '- ' || company || chr(10) || chr(10) || 'A & B' AS page, title || chr(10) || chr(10) || '- ' || company || chr(10) || chr(10) || 'A & B' AS jd FROM s""")
 def p22(spark, sf_dir):
     page = F.concat(F.lit("<script>x</script><p>"), "title", F.lit("</p><li>"), "company", F.lit("</li><br/><br>A &amp; B"))
     jd = F.concat("title", F.lit("\n•  "), "company", F.lit("\n\n\n\nA &amp;\tB"))
@@ -203,13 +203,13 @@ def p23(spark, sf_dir):
     return companies.repair_companies(s).select("arrival", "company", "repaired", "stuck")
 
 
-@query("P24_confirm_sites", """SELECT 'Acme Widgets ' || page_id AS name, regexp_extract(url, '//([^/?#:]*)', 1) AS host FROM pages WHERE page_id % 2 = 0
-    UNION SELECT 'Solo' , regexp_extract(url, '//([^/?#:]*)', 1) FROM pages WHERE page_id % 4 = 0""")
+@query("P24_confirm_sites", """SELECT 'Acme Widgets unit' || (page_id + 100000) AS name, regexp_replace(regexp_extract(url, '//([^/?#:]*)', 1), '^www\\.', '') AS host FROM pages WHERE page_id % 2 = 0
+    UNION SELECT 'Solo' , regexp_replace(regexp_extract(url, '//([^/?#:]*)', 1), '^www\\.', '') FROM pages WHERE page_id % 4 = 0""")
 def p24(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    title = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("ACME Widgets "), "page_id", F.lit(" - solo"))).otherwise(F.lit("Other"))
+    title = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("ACME Widgets unit"), F.col("page_id") + 100000, F.lit(" - solo"))).otherwise(F.lit("Other"))
     pages = p.withColumn("html", F.concat(F.lit("<title>"), title, F.lit("</title>"), F.when(F.col("page_id") % 4 == 0, F.lit("in Columbus, Ohio")).otherwise(F.lit(""))))
-    names = p.select(F.concat(F.lit("Acme Widgets "), "page_id").alias("name"), F.col("url").alias("site")).union(p.select(F.lit("Solo"), "url"))
+    names = p.select(F.concat(F.lit("Acme Widgets unit"), F.col("page_id") + 100000).alias("name"), F.col("url").alias("site")).union(p.select(F.lit("Solo"), "url"))
     return companies.confirm_sites(names.distinct(), pages, ("columbus", "ohio", "oh"))
 
 

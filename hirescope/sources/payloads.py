@@ -710,7 +710,7 @@ def hackernews(payloads: DataFrame) -> DataFrame:
         & (F.coalesce("c.text", F.lit("")) != "")
     ).withColumn("flat", clean_text("c.text"))
     head = F.substring(F.split(F.split("flat", "\n")[0], r"\.")[0], 1, 200)
-    c = c.withColumn("head", head).withColumn("parts", F.transform(F.split("head", r"\|"), F.trim))
+    c = c.withColumn("head", head).withColumn("parts", F.transform(F.split("head", r"\|"), lambda x: F.trim(x)))
     return _postings(
         c, "hackernews",
         title=F.coalesce(F.try_element_at("parts", F.lit(2)), F.substring("head", 1, 80)),
@@ -815,7 +815,7 @@ def read_digest(lines: DataFrame) -> DataFrame:
         F.min(F.when(F.col("_head"), F.struct("pos", "line", "tier"))).alias("h"),
         F.min(F.when(~F.col("_head") & F.col("_meta").isNotNull(), F.struct("pos", F.col("_meta").alias("meta")))).alias("m"),
     )
-    parts = F.transform(F.split("m.meta", " - "), F.trim)
+    parts = F.transform(F.split("m.meta", " - "), lambda x: F.trim(x))
     out = found.select(
         "doc", F.col("h.pos").alias("pos"),
         F.regexp_extract("h.line", head, 1).cast("int").alias("score"),

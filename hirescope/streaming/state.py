@@ -13,18 +13,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    BooleanType, DataType, IntegerType, LongType, StringType, StructField, StructType, TimestampType,
+)
 
 from ..operators.applications import follow_ups_due
 from ..operators.history import (
     GHOST_DAYS, GHOST_TIMES, SEEN_RETENTION_DAYS, fold_sightings, merge_seen, prune_seen,
 )
 
-SEEN_OUT = StructType.fromDDL(
-    "uid string, first_seen timestamp, last_seen timestamp, times_seen int, score int, "
-    "posted_at timestamp, is_new boolean, ghost boolean"
+
+def _fields(*fields: tuple[str, DataType]) -> StructType:
+    return StructType([StructField(name, kind, True) for name, kind in fields])
+
+
+SEEN_OUT = _fields(
+    ("uid", StringType()), ("first_seen", TimestampType()), ("last_seen", TimestampType()),
+    ("times_seen", IntegerType()), ("score", IntegerType()), ("posted_at", TimestampType()),
+    ("is_new", BooleanType()), ("ghost", BooleanType()),
+)
+_STATE = _fields(
+    ("first_us", LongType()), ("last_us", LongType()), ("times", IntegerType()), ("score", IntegerType())
 )
-_STATE = StructType.fromDDL("first_us bigint, last_us bigint, times int, score int")
 
 
 def _micros(ts: pd.Timestamp) -> int:
