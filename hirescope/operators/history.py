@@ -419,15 +419,13 @@ def work_list(
 
 def sweep_list(rows: DataFrame, budget: int = SWEEP_BUDGET) -> DataFrame:
     """Carried rows still lacking a body, least recently checked first."""
-    latest = rows.agg(F.max("last_seen").alias("_latest"))
+    latest = rows.agg(F.max("last_seen")).scalar()
     return (
-        rows.join(latest, F.lit(True))
-        .filter(
-            (F.col("last_seen") < F.col("_latest"))
+        rows.filter(
+            (F.col("last_seen") < latest)
             & (F.col("url") != "")
             & wants_body(F.col("flags"), F.col("partial"), F.col("description"))
         )
-        .drop("_latest")
         .orderBy(F.asc_nulls_first("checked_at"), F.desc("score"), "uid")
         .limit(budget)
     )
@@ -435,10 +433,9 @@ def sweep_list(rows: DataFrame, budget: int = SWEEP_BUDGET) -> DataFrame:
 
 def close_gone(rows: DataFrame, gone: DataFrame, floor: int = MIN_SCORE_TO_REPORT) -> DataFrame:
     """Drop rows reported gone, unless the latest run still saw them."""
-    latest = rows.agg(F.max("last_seen").alias("_latest"))
+    latest = rows.agg(F.max("last_seen")).scalar()
     closed = (
-        rows.join(latest, F.lit(True))
-        .filter(F.col("last_seen") < F.col("_latest"))
+        rows.filter(F.col("last_seen") < latest)
         .join(gone.select("uid").distinct(), "uid", "left_semi")
         .select("uid")
     )

@@ -435,7 +435,7 @@ def _archive_match(archive: DataFrame, text: str, min_score: int, since: str) ->
 
 def archive_summary(archive: DataFrame) -> DataFrame:
     """The numbers above the archive table."""
-    until = archive.agg(F.max("last_seen").alias("_until"))
+    until = archive.agg(F.max("last_seen")).scalar()
     per_company = archive.groupBy(F.lower("company").alias("c")).agg(
         F.count("*").alias("n"),
         F.min("first_seen").alias("since"),
@@ -453,10 +453,10 @@ def archive_summary(archive: DataFrame) -> DataFrame:
         F.sum("readings").alias("readings"),
         F.max("top").alias("top"),
     )
-    last = archive.join(until, F.lit(True)).agg(
-        F.count_if(F.col("last_seen") == F.col("_until")).alias("last_read"),
-        F.count_if(F.col("first_seen") == F.col("_until")).alias("last_new"),
+    marked = archive.select(
+        (F.col("last_seen") == until).alias("read"), (F.col("first_seen") == until).alias("new")
     )
+    last = marked.agg(F.count_if("read").alias("last_read"), F.count_if("new").alias("last_new"))
     return main.join(last, F.lit(True)).select(
         "total", "companies", "since", "until", "scored", "readings", "last_read", "last_new",
         F.col("top.company").alias("most_read_company"),

@@ -241,10 +241,8 @@ ACRONYM = r"^[A-Z][A-Z0-9&+]{1,7}s?$"
 def zipf(words: DataFrame, word: str = "word") -> DataFrame:
     """Word frequencies on the Zipf scale: log10 of occurrences per billion."""
     counted = words.groupBy(word).agg(F.count("*").alias("n"))
-    total = counted.agg(F.sum("n").alias("_total"))
-    return counted.join(total, F.lit(True)).select(
-        word, "n", F.log10(F.col("n") / F.col("_total") * 1e9).alias("zipf")
-    )
+    total = counted.agg(F.sum("n")).scalar()
+    return counted.select(word, "n", F.log10(F.col("n") / total * 1e9).alias("zipf"))
 
 
 def spelling_candidates(name: Column | str, vendors: Iterable[str] = ()) -> Column:

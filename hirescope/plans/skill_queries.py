@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import segment, skills, vocab
+from ..session import checkpointed
 from .registry import query
 from .text_queries import LINES_SQL, TERMS, lines
 from .views import JDS_SQL, jds, spread, table
@@ -64,7 +65,7 @@ def g02(spark, sf_dir):
 
 @query("G03_posting_terms", ASKED_SQL + "SELECT uid, term, required FROM per")
 def g03(spark, sf_dir):
-    return skills.posting_terms(jds(spark, sf_dir), lines(spark, sf_dir), TERMS)
+    return skills.posting_terms(jds(spark, sf_dir), TERMS)
 
 
 @query("G04_title_families", _J + """, f AS (SELECT CASE okey WHEN 0 THEN 'data analyst' WHEN 1 THEN 'supply chain analyst' WHEN 2 THEN 'help desk technician' WHEN 3 THEN 'data engineer' END AS family, applied
@@ -79,7 +80,8 @@ def growth_inputs(spark, sf_dir):
     """Listed is every description, applied a third of them again."""
     j = jds(spark, sf_dir).select("uid", "company", "title", "score", "applied")
     posts = j.withColumn("set", F.lit("listed")).union(j.filter("applied").withColumn("set", F.lit("applied")))
-    terms = skills.posting_terms(jds(spark, sf_dir), lines(spark, sf_dir), TERMS)
+    # Read by several reports: written once to the shared checkpoint folder.
+    terms = checkpointed(skills.posting_terms(jds(spark, sf_dir), TERMS))
     return terms.join(posts.select("set", "uid"), "uid"), posts
 
 

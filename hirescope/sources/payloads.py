@@ -47,9 +47,9 @@ def _rows(payloads: DataFrame, schema: str, path: str = "") -> DataFrame:
     return each(payloads, items, "j", *keep)
 
 
-def corrupt_payloads(payloads: DataFrame, schema: str) -> DataFrame:
-    """The documents that do not parse, for the side table."""
-    return payloads.filter(F.from_json("payload", schema).isNull())
+def corrupt_payloads(payloads: DataFrame) -> DataFrame:
+    """The documents that are not JSON, for the side table."""
+    return payloads.filter(F.try_parse_json("payload").isNull())
 
 
 def _or(*options: Column | str) -> Column:
