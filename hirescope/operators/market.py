@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..functions.places import place_label, region
 from ..functions.text import col, squash, zero_to_null
+from ..session import written
 from .ranks import medians, midrank, running_counts, value_counts
 
 # --- fixed values ------------------------------------------------------------
@@ -98,6 +99,18 @@ def with_market_columns(df: DataFrame, as_of) -> DataFrame:
     )
 
 
+INDEX = ("low", "high", "pay", "age", "reach", "role")
+
+
+def market_index(peers: DataFrame, as_of, key: str = "posting_key") -> DataFrame:
+    """The peers' market columns as a written table. Every report below reads
+    it several times over; a frame that is an index already passes through."""
+    if set(INDEX) <= set(peers.columns):
+        return peers
+    keep = [c for c in (key, "company", "title", "source") if c in peers.columns]
+    return written(with_market_columns(peers, as_of).select(*keep, *GROUP, *INDEX), "market-index")
+
+
 def peer_groups(peers: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     """The size and shape of each peer group. ``peers`` has market columns.
 
@@ -230,8 +243,11 @@ def assess(candidates: DataFrame, peers: DataFrame, as_of, key: str = "posting_k
     competition, exposure and freshness are turned round. A group under eight
     peers answers nothing; a missing factor gives its weight to the others.
     """
-    peers = with_market_columns(peers, as_of)
-    cand = with_market_columns(candidates, as_of)
+    same = candidates is peers
+    peers = market_index(peers, as_of, key)
+    cand = peers if same else (
+        candidates if set(INDEX) <= set(candidates.columns) else with_market_columns(candidates, as_of)
+    )
     roles = role_counts(peers)
     cand = (
         cand.select(key, *GROUP, "pay", "age", "reach", "role", "source")
@@ -306,14 +322,22 @@ def assess(candidates: DataFrame, peers: DataFrame, as_of, key: str = "posting_k
 def estimate_salary(candidates: DataFrame, peers: DataFrame, as_of) -> DataFrame:
     """A band for postings that published none, from the narrowest pool
     with eight lows and eight highs whose medians are in order."""
-    bands = pooled_bands(with_market_columns(peers, as_of)).filter(
-        (F.col("n_low") >= MIN_PEERS)
-        & (F.col("n_high") >= MIN_PEERS)
-        & (F.col("median_high") >= F.col("median_low"))
-    )
-    cand = with_market_columns(candidates, as_of).filter(
-        F.col("low").isNull() & F.col("high").isNull()
-    )
+    same = candidates is peers
+    peers = market_index(peers, as_of)
+    # One row per pool, read once per rung: written, its size is known and the
+    # rungs join by broadcast only while it is small.
+    bands = written(
+        pooled_bands(peers).filter(
+            (F.col("n_low") >= MIN_PEERS)
+            & (F.col("n_high") >= MIN_PEERS)
+            & (F.col("median_high") >= F.col("median_low"))
+        ),
+        "bands",
+    )
+    cand = peers if same else (
+        candidates if set(INDEX) <= set(candidates.columns) else with_market_columns(candidates, as_of)
+    )
+    cand = cand.filter(F.col("low").isNull() & F.col("high").isNull())
     rungs = (
         ("cell", 0, 0, ["job_family", "place"]),
         ("family", 0, 1, ["job_family"]),
@@ -361,6 +385,9 @@ def estimate_salary(candidates: DataFrame, peers: DataFrame, as_of) -> DataFrame
 
 def market_context(current: DataFrame, peers: DataFrame, as_of, key: str = "posting_key") -> DataFrame:
     """Standing and salary estimate joined to the current list."""
+    same = current is peers
+    peers = market_index(peers, as_of, key)
+    current = peers if same else current
     standing = assess(current, peers, as_of, key).select(
         key, "delta", "direction", "peers", "confident"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import segment, skills, vocab
-from ..session import checkpointed
+from ..session import written
 from .registry import query
 from .text_queries import LINES_SQL, TERMS, lines
 from .views import JDS_SQL, jds, spread, table
@@ -81,7 +81,7 @@ def growth_inputs(spark, sf_dir):
     j = jds(spark, sf_dir).select("uid", "company", "title", "score", "applied")
     posts = j.withColumn("set", F.lit("listed")).union(j.filter("applied").withColumn("set", F.lit("applied")))
     # Read by several reports: written once to the shared checkpoint folder.
-    terms = checkpointed(skills.posting_terms(jds(spark, sf_dir), TERMS))
+    terms = written(skills.posting_terms(jds(spark, sf_dir), TERMS), "asked")
     return terms.join(posts.select("set", "uid"), "uid"), posts
 
 

@@ -7,13 +7,12 @@ right answer is known from the same columns.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import history
+from ..session import scratch
 from ..sources import payloads as src
 from ..sources import sinks
 from .market_queries import ARCHIVE_SQL, keyed
@@ -252,14 +251,6 @@ def s21(spark, sf_dir):
     return src.watch_list(cur, lea).select(F.concat(F.lit("S"), F.lower(F.substring("name", 2, 100))).alias("name"), "origin")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one in tests."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 @query("S22_snapshot_reader", _S + """ SELECT company, title, count(*) AS n, min(salary_min) AS low FROM s WHERE CAST(run_ts AS DATE) >= DATE '2001-10-01' AND title <> '' GROUP BY company, title""")
 def s22(spark, sf_dir):
     """Snapshots written as JSON lists and read back; one broken file among them."""

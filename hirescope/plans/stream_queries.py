@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import applications, history
+from ..session import scratch
 from ..streaming import state
 from .registry import query
-from .source_queries import scratch
 from .views import table
 
 _E = """WITH e AS (SELECT user_id || '|' || event_type AS uid, ts, CAST(date_trunc('day', ts) AS TIMESTAMP) AS run_ts, CAST(floor(value) AS INT) AS score FROM events)"""
