@@ -27,27 +27,29 @@ def fold_log(events: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Current rows from (id, at, kind, message, fields...) change events.
 
     A field keeps its latest non-null value; a row whose latest event is a
-    removal is gone; history is the dated messages in order, one application's
-    own.
+    removal is gone. The dated messages stay rows (see log_history), so an
+    application with millions of changes folds like any other.
     """
     at = F.col("at")
     newest = [
         F.max_by(F.col(f), F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields
     ]
-    message = F.when(
-        F.coalesce("message", F.lit("")) != "", F.struct(at.alias("at"), F.col("message").alias("message"))
-    )
     removed = F.max(F.when(F.col("kind") == "remove", at))
     last = F.max(at)
     return (
         events.groupBy("id")
         .agg(*newest, removed.alias("_removed"), last.alias("_last"),
-             F.array_sort(F.collect_list(message)).alias("history"))
+             F.count_if(F.coalesce("message", F.lit("")) != "").alias("messages"))
         .filter(F.col("_removed").isNull() | (F.col("_removed") < F.col("_last")))
         .drop("_removed", "_last")
     )
 
 
+def log_history(events: DataFrame) -> DataFrame:
+    """The dated messages of every application, one row each."""
+    return events.filter(F.coalesce("message", F.lit("")) != "").select("id", "at", "message")
+
+
 def follow_up_date(applied_on: Column | str) -> Column:
     return F.date_add(col(applied_on), FOLLOW_UP_DAYS)
 

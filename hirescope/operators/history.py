@@ -458,10 +458,9 @@ def learn_candidates(
     min_score: int = LEARN_MIN_SCORE,
     limit: int | None = LEARN_MAX_NEW,
 ) -> DataFrame:
-    """Unwatched companies by best posting, with their distinct titles.
-
-    Titles are folded per (company, title) first, so repeats of one title cost
-    one row, and the list holds the titles of one company's good postings.
+    """Unwatched companies by best posting, with how many different titles
+    they advertise. Titles are folded per (company, title) first; the titles
+    themselves are rows (see titles_of), never one company's list.
     """
     name = F.trim("company")
     cutoff = F.date_sub(stamp(as_of).cast("date"), LEARN_RETRY_DAYS)
@@ -487,13 +486,17 @@ def learn_candidates(
     ).withColumn("name", F.col("first.name")).orderBy(F.desc("best"), "name")
     if limit:
         ranked = ranked.limit(limit)
-    titles = (
-        per_title.filter(F.col("title") != "")
-        .join(ranked.select("company_key"), "company_key", "left_semi")
-        .groupBy("company_key")
-        .agg(F.sort_array(F.collect_set("title")).alias("titles"))
+    return ranked.select("name", "best", "n_titles")
+
+
+def titles_of(companies: DataFrame, postings: DataFrame, min_score: int = LEARN_MIN_SCORE) -> DataFrame:
+    """(name, title) rows for chosen companies, as H14 joins them."""
+    chosen = companies.select("name", F.lower(F.trim("name")).alias("_k"))
+    good = postings.filter((F.col("score") >= min_score) & (F.coalesce("title", F.lit("")) != ""))
+    return (
+        good.select(F.lower(F.trim("company")).alias("_k"), "title").distinct()
+        .join(chosen, "_k").select("name", "title")
     )
-    return ranked.join(titles, "company_key", "left").select("name", "best", "n_titles", "titles")
 
 
 def confirm_boards(boards: DataFrame, seen: DataFrame) -> DataFrame:

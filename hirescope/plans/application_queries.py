@@ -22,7 +22,7 @@ def k06(spark, sf_dir):
         F.col("user_id").cast("string").alias("id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", "remove").otherwise("update").alias("kind"),
         F.when(F.col("event_type") == "click", F.concat(F.lit("clicked "), F.col("event_id").cast("string"))).alias("message"),
         F.when(F.col("event_type") != "error", F.col("event_type")).alias("status"), F.when(F.col("event_type") == "click", F.col("event_id")).alias("packet"))
-    return ap.fold_log(e, ("status", "packet")).select("id", "status", "packet", F.size("history").alias("messages"))
+    return ap.fold_log(e, ("status", "packet")).select("id", "status", "packet", "messages")
 
 
 @query("G15_funnel", _L + """ SELECT s.status, count(l.id) AS n FROM (VALUES ('prepared'),('applied'),('followed-up'),('screening'),('interview'),('offer'),('rejected'),('ghosted'),('withdrawn')) s(status)
