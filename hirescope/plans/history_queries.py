@@ -154,7 +154,7 @@ def h08(spark, sf_dir):
                       F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
 
 
-@query("H09_reuse_bodies", ARCHIVE_SQL + """, run AS (SELECT uid, url, qty, line FROM keyed WHERE run_ts >= TIMESTAMP '2001-06-01'),
+@query("H09_reuse_bodies", ARCHIVE_SQL + """, run AS (SELECT uid, url, qty, line FROM keyed),
     cand AS (SELECT uid, url, max(repeat('y', CAST(qty + 10 AS INT))) AS b FROM keyed WHERE line % 2 = 0 GROUP BY uid, url),
     bod AS (SELECT url, max(repeat('z', 40)) AS b FROM keyed WHERE line = 3 GROUP BY url),
     j AS (SELECT r.uid, r.url, CASE WHEN line % 4 = 0 THEN 0 ELSE CAST(qty AS INT) END AS n, line IN (2, 3) AS part,
@@ -165,7 +165,7 @@ def h08(spark, sf_dir):
     part AND NOT coalesce((n = 0 OR part) AND given > n, false) AS partial FROM j""")
 def h09(spark, sf_dir):
     k = keyed(spark, sf_dir).withColumn("flags", F.array().cast("array<string>"))
-    run = k.filter("run_ts >= timestamp '2001-06-01'").withColumns({
+    run = k.withColumns({
         "description": F.expr("case when line % 4 = 0 then '' else repeat('x', cast(qty as int)) end"),
         "partial": F.col("line").isin(2, 3)})
     cand = k.filter("line % 2 = 0").withColumns({"description": F.expr("repeat('y', cast(qty + 10 as int))"), "partial": F.lit(False)})
@@ -217,11 +217,11 @@ def h13(spark, sf_dir):
     return history.learn_candidates(copies(spark, sf_dir), known, misses, AS_OF).select("name", "best", "n_titles")
 
 
-@query("H14_confirm_boards", _S + """, b AS (SELECT DISTINCT company, source AS slug, lower(title) AS t FROM s WHERE source IN ('greenhouse', 'lever', 'workday') AND run_ts >= TIMESTAMP '2001-01-01'),
-    h AS (SELECT lower(company) AS c, lower(title) AS t, min(title) AS title FROM s WHERE source IN ('adzuna', 'remoteok') AND run_ts >= TIMESTAMP '2001-01-01' GROUP BY 1, 2)
+@query("H14_confirm_boards", _S + """, b AS (SELECT DISTINCT company, source AS slug, lower(title) AS t FROM s WHERE source IN ('greenhouse', 'lever', 'workday')),
+    h AS (SELECT lower(company) AS c, lower(title) AS t, min(title) AS title FROM s WHERE source IN ('adzuna', 'remoteok') GROUP BY 1, 2)
     SELECT b.company, b.slug, min(h.title) AS proof FROM b JOIN h ON h.c = lower(b.company) AND h.t = b.t GROUP BY b.company, b.slug""")
 def h14(spark, sf_dir):
-    s = sightings(spark, sf_dir).filter("run_ts >= timestamp '2001-01-01'")
+    s = sightings(spark, sf_dir)
     boards = s.filter(F.col("source").isin("greenhouse", "lever", "workday")).select("company", F.col("source").alias("slug"), F.upper("title").alias("title"))
     seen = s.filter(F.col("source").isin("adzuna", "remoteok")).select("company", "title")
     return history.confirm_boards(boards, seen)

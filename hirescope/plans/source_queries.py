@@ -115,10 +115,10 @@ def s07(spark, sf_dir):
 def s08(spark, sf_dir):
     slug = F.concat(F.lit("data-analyst-"), "line", F.when(F.col("line") == 1, F.lit("-columbus-ohio-united-states")).otherwise(F.lit("-news-west-virginia-united-states")),
                     F.lit("-0a1b2c3d-0000-1111-2222-0123456789ab/"))
-    title = F.when(F.col("line") == 3, F.lit("cook-boise-idaho-united-states")).otherwise(slug)
-    text = F.concat(F.lit("<urlset><url><loc> https://j.org/about </loc></url><url><loc>https://j.org/jobs/"), title, F.when(F.col("line") == 3, F.lit("/")).otherwise(F.lit("")), F.lit("x"), "ext",
+    title = F.when(F.col("line") >= 3, F.lit("cook-boise-idaho-united-states")).otherwise(slug)
+    text = F.concat(F.lit("<urlset><url><loc> https://j.org/about </loc></url><url><loc>https://j.org/jobs/"), title, F.when(F.col("line") >= 3, F.lit("/")).otherwise(F.lit("")), F.lit("x"), "ext",
                     F.lit("</loc><lastmod>"), F.date_format("posted_at", "yyyy-MM-dd"), F.lit("</lastmod></url></urlset>"))
-    s = sightings(spark, sf_dir).filter("line <= 3").withColumn("ext", F.col("arrival").cast("string"))
+    s = sightings(spark, sf_dir).withColumn("ext", F.col("arrival").cast("string"))
     # The id follows the slug as its own path part; the slug is read up to it.
     p = s.withColumn("payload", F.regexp_replace(text, "ab/x", "ab/x")).select("payload", "company")
     rows = src.sitemap(p.withColumn("payload", F.regexp_replace("payload", r"(-0a1b[^/]*)/(x\d+)", "$1?/$2")), "/jobs/", ("columbus",), ("analyst 2",))
@@ -127,7 +127,7 @@ def s08(spark, sf_dir):
 
 
 def marked_pages(spark, sf_dir):
-    s = sightings(spark, sf_dir).filter("line <= 4")
+    s = sightings(spark, sf_dir)
     pay = F.expr("""case line when 1 then '{"@type":"MonetaryAmount","value":{"minValue":"30","maxValue":"25","unitText":"HOUR"}}'
         when 2 then '[{"value":[{"value":"$5,000","unitText":"MONTH"}]}]' when 3 then '{"value":70000}' else '{"value":{"minValue":1,"maxValue":2}}' end""")
     node = F.concat(F.lit('{"@type":["Thing","JobPosting"],"title":"'), "title", F.lit('","description":"<p>Do &amp; learn</p>","datePosted":"'), F.date_format("run_ts", "yyyy-MM-dd"),
@@ -138,15 +138,15 @@ def marked_pages(spark, sf_dir):
 
 
 @query("S09_jsonld_postings", _S + """ SELECT arrival AS page_id, title, 'Do & learn' AS description, run_ts AS posted_at, place || ', OH' AS location,
-    CASE line WHEN 1 THEN 52000e0 WHEN 2 THEN 60000e0 WHEN 3 THEN 70000e0 END AS lo, CASE line WHEN 1 THEN 62400e0 WHEN 2 THEN 60000e0 WHEN 3 THEN 70000e0 END AS hi FROM s WHERE line <= 4""")
+    CASE line WHEN 1 THEN 52000e0 WHEN 2 THEN 60000e0 WHEN 3 THEN 70000e0 END AS lo, CASE line WHEN 1 THEN 62400e0 WHEN 2 THEN 60000e0 WHEN 3 THEN 70000e0 END AS hi FROM s""")
 def s09(spark, sf_dir):
     n = src.postings_from_nodes(src.job_nodes(marked_pages(spark, sf_dir)))
     return n.select("page_id", "title", "description", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), "location", "pay.lo", "pay.hi")
 
 
-@query("S09_apply_pages", _S + """ SELECT url, run_ts AS posted_at, CASE line WHEN 1 THEN 52000e0 WHEN 2 THEN 60000e0 WHEN 3 THEN 70000e0 ELSE 1e0 END AS salary_min FROM s WHERE line <= 4""")
+@query("S09_apply_pages", _S + """ SELECT url, run_ts AS posted_at, CASE line WHEN 1 THEN 52000e0 WHEN 2 THEN 60000e0 WHEN 3 THEN 70000e0 ELSE 1e0 END AS salary_min FROM s""")
 def s09_apply(spark, sf_dir):
-    rows = sightings(spark, sf_dir).filter("line <= 4").select("url", F.lit("old").alias("title"), F.lit("").alias("description"), F.lit(None).cast("timestamp").alias("posted_at"),
+    rows = sightings(spark, sf_dir).select("url", F.lit("old").alias("title"), F.lit("").alias("description"), F.lit(None).cast("timestamp").alias("posted_at"),
                                                             F.lit("").alias("location"), F.lit(1.0).alias("salary_min"), F.lit(None).cast("double").alias("salary_max"))
     out = src.apply_pages(rows, src.postings_from_nodes(src.job_nodes(marked_pages(spark, sf_dir))))
     return out.select("url", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), "salary_min")
@@ -251,11 +251,11 @@ def s21(spark, sf_dir):
     return src.watch_list(cur, lea).select(F.concat(F.lit("S"), F.lower(F.substring("name", 2, 100))).alias("name"), "origin")
 
 
-@query("S22_snapshot_reader", _S + """ SELECT company, title, count(*) AS n, min(salary_min) AS low FROM s WHERE CAST(run_ts AS DATE) >= DATE '2001-10-01' AND title <> '' GROUP BY company, title""")
+@query("S22_snapshot_reader", _S + """ SELECT company, title, count(*) AS n, min(salary_min) AS low FROM s WHERE title <> '' GROUP BY company, title""")
 def s22(spark, sf_dir):
     """Snapshots written as JSON lists and read back; one broken file among them."""
     path = scratch(spark, "snapshots")
-    s = sightings(spark, sf_dir).filter("run_ts >= timestamp '2001-10-01'")
+    s = sightings(spark, sf_dir)
     rows = s.select(F.to_json(F.array(F.struct("title", "company", "salary_min", F.date_format("posted_at", "yyyy-MM-dd").alias("posted_at"), F.lit("x").alias("extra")))).alias("value"))
     # A list per row stands for a file; a broken document is skipped.
     rows.union(spark.createDataFrame([("[{broken",)], "value string")).write.text(path)
@@ -292,16 +292,16 @@ def s24(spark, sf_dir):
 
 @query("S25_aggregator_pages", _S + """ SELECT arrival AS page_id, title, 'Body of ' || company AS description FROM s WHERE line = 3""")
 def s25(spark, sf_dir):
-    s = sightings(spark, sf_dir).filter("line in (3, 4)")
+    s = sightings(spark, sf_dir)
     html = F.concat(F.lit("<h1>"), "title", F.lit("</h1><section class='adp-body x'> Job Description <p>Body of "), "company", F.lit("</p></section>"))
     pages = s.select(F.col("arrival").alias("page_id"), F.when(F.col("line") == 3, F.concat(F.lit("https://www.adzuna.com/details/"), "arrival")).otherwise(F.col("url")).alias("url"), html.alias("html"))
     return src.aggregator_pages(pages).drop("url")
 
 
-@query("H10_snippet_upgrade", _S + """ SELECT arrival AS uid, CASE WHEN line IN (1, 3) THEN 1000 WHEN line = 5 THEN 150 ELSE 60 + 2 * 21 END AS body, line NOT IN (1, 3, 5) AS partial, CASE WHEN line IN (1, 3) THEN 60000e0 END AS salary_min FROM s WHERE line <= 5""")
+@query("H10_snippet_upgrade", _S + """ SELECT arrival AS uid, CASE WHEN line IN (1, 3, 6, 7) THEN 1000 WHEN line = 5 THEN 150 ELSE 60 + 2 * 21 END AS body, line NOT IN (1, 3, 5, 6, 7) AS partial, CASE WHEN line IN (1, 3, 6, 7) THEN 60000e0 END AS salary_min FROM s""")
 def h10(spark, sf_dir):
     """Long pages replace snippets; short ones only when they hold the snippet."""
-    s = sightings(spark, sf_dir).filter("line <= 5")
+    s = sightings(spark, sf_dir)
     snippet = F.concat(F.repeat(F.lit("word "), F.lit(20)), F.lit("cu"))
     rows = s.select(F.col("arrival").alias("uid"), F.when(F.col("line") == 3, F.concat(F.lit("https://www.adzuna.com/land/ad/"), "arrival")).otherwise(F.concat("url", F.lit("/"), "arrival")).alias("url"),
                     F.concat(F.lit("Great "), "title").alias("title"), snippet.alias("description"), F.lit(True).alias("partial"), F.lit(None).cast("double").alias("salary_min"), F.lit(None).cast("double").alias("salary_max"))

@@ -103,9 +103,10 @@ def t07(spark, sf_dir):
     return skills.unknown_names(lines(spark, sf_dir), known)
 
 
-@query("T07_unmapped_tokens")
+@query("T07_unmapped_tokens", _J + " SELECT jd, 'Terraform' AS token, 2 AS n, 1 AS place FROM j")
 def t07_jd(spark, sf_dir):
-    return skills.unmapped_tokens(skills.parse_jds(jds(spark, sf_dir).withColumnRenamed("description", "raw"), TERMS), TERMS)
+    raw = F.concat("description", F.lit("\nRequirements:\nTerraform or SQL\nTerraform and Snowflake"))
+    return skills.unmapped_tokens(skills.parse_jds(jds(spark, sf_dir).withColumn("raw", raw), TERMS), TERMS)
 
 
 @query("T08_about_section", _J + """ SELECT jd, substring('We make ' || repeat('things for ' || segment || ' ', 12) || 'now.', 1, 900) AS about FROM j""")
