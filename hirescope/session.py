@@ -1,17 +1,16 @@
-"""Session defaults and the checkpoint folder."""
+"""Session defaults and the folder that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int = 8, name: str = "hirescope") -> SparkSession:
+def local_session(cores: int = 8, name: str = "hirescope", checkpoint_dir: str | None = None) -> SparkSession:
     """A single-JVM session for tests and the benchmark. On a cluster the
     caller brings its own session and none of this is used."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.driver.memory", "12g")
@@ -22,38 +21,48 @@ def local_session(cores: int = 8, name: str = "hirescope") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a folder in
+    the warehouse. A session of several machines whose warehouse is on a local
+    disk has no shared folder, and that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse.rstrip('/')}/_scratch"
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only
-    when a session names none (tests) is a temporary one set.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hirescope-ckpt-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write a table that several parts of a plan read, and read it back.
 
     Columnar, so each reader scans only its columns; on shared storage, so it
     survives lost executors; and computed once, where a plan that refers to it
-    five times would compute it five times.
+    five times would compute it five times. ``path`` names a folder the caller
+    owns; otherwise it is a new one in the shared folder.
     """
-    path = scratch(df.sparkSession, name)
+    path = path or scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
