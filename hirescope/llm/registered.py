@@ -8,17 +8,55 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirescope.llm import chat, media, near_dup, packing
+from hirescope.llm import ann, chat, lm_score, media, near_dup, packing, pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(_table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH w AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x09-\x0D\x20]+'), lambda x: x <> '') AS words FROM documents
+), o AS (
+    SELECT doc_id, len(words) AS n_words, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
+), p AS (
+    SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS context FROM o
+), total AS (SELECT count(*) AS n FROM o),
+word_all AS (SELECT word, count(*) AS c FROM o GROUP BY 1), word_own AS (SELECT doc_id, word, count(*) AS c FROM o GROUP BY 1, 2),
+pair_all AS (SELECT context, word, count(*) AS c FROM p WHERE context IS NOT NULL GROUP BY 1, 2),
+pair_own AS (SELECT doc_id, context, word, count(*) AS c FROM p WHERE context IS NOT NULL GROUP BY 1, 2, 3),
+s AS (
+    SELECT p.doc_id, p.context IS NULL AS is_first, total.n - p.n_words AS others, wa.c - wo.c AS c_word,
+        pa.c - po.c AS c_pair, ca.c - co.c AS c_context
+    FROM p CROSS JOIN total JOIN word_all wa ON p.word = wa.word JOIN word_own wo ON p.doc_id = wo.doc_id AND p.word = wo.word
+    LEFT JOIN pair_all pa ON p.context = pa.context AND p.word = pa.word
+    LEFT JOIN pair_own po ON p.doc_id = po.doc_id AND p.context = po.context AND p.word = po.word
+    LEFT JOIN word_all ca ON p.context = ca.word LEFT JOIN word_own co ON p.doc_id = co.doc_id AND p.context = co.word
+), v AS (
+    SELECT doc_id, coalesce(c_pair > 0, false) AS known,
+        CASE WHEN c_pair > 0 THEN c_pair::DOUBLE / c_context
+            ELSE (CASE WHEN is_first THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END)
+                * (CASE WHEN c_word > 0 THEN c_word::DOUBLE / greatest(others, 1) ELSE 0.4::DOUBLE / (others + 1) END) END AS value FROM s
+), d AS (
+    SELECT doc_id, CAST(sum(known::INT) AS BIGINT) AS n_known, CAST(sum(CAST(round_even(ln(value) * 1e6, 0) AS BIGINT)) AS BIGINT) AS log_micro FROM v GROUP BY 1
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_known, 0) AS n_known, coalesce(log_micro, 0) AS log_micro,
+    CASE WHEN len(words) > 0 THEN log_micro / 1e6::DOUBLE / len(words) END AS score
+FROM w LEFT JOIN d ON w.doc_id = d.doc_id
+"""
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     extra = spark.range(1).select(F.inline(F.array(*(
@@ -48,6 +86,12 @@ FROM c GROUP BY conv_id
 """
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded, decoded, and the decoded text's hash."""
+    rows = pieces.decoded(pieces.encoded(_table(spark, sf_dir, "documents"), PIECE_VOCABULARY), PIECE_VOCABULARY)
+    return rows.select("doc_id", "n_pieces", "ids_crc32", "score", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(_table(spark, sf_dir, "documents"))
 
@@ -56,13 +100,18 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_chat, op6_media, op7_near_dup, op9_packing)}
+    return {f.__name__: f for f in (
+        op2_lm_score, op4_chat, op5_pieces, op6_media, op7_near_dup, op8_ann, op9_packing)}
 
 
 def checks() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL}
+    return {"op2_lm_score": OP2_SQL, "op4_chat": OP4_SQL}
