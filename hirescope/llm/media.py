@@ -113,7 +113,7 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
                 mark = hashlib.sha256(times.tobytes() + hashes.tobytes()).hexdigest()
                 rows.append((key, n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-UNIT:]), len(media),
                              hashlib.sha256(media).hexdigest(), f"{len(times)}:{mark}", times, hashes, *[media] * keep_media))
-            yield pd.DataFrame(rows, columns=[f.name for f in schema]).astype({"doc_id": batch["doc_id"].dtype})
+            yield pd.DataFrame(rows, columns=[f.name for f in schema], dtype=object).astype({"doc_id": batch["doc_id"].dtype})
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *_SCHEMA,
                            *[T.StructField("media", T.BinaryType())] * keep_media])

@@ -147,7 +147,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
             ids = [np.asarray(i, np.int32).tobytes() for i in batch["ids"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_pieces": [len(i) // 4 for i in ids],
                                 "ids_crc32": [zlib.crc32(i) for i in ids], "score": batch["score"],
-                                "text": [v.decode(i) for i in ids]})
+                                "text": pd.Series([v.decode(i) for i in ids], dtype=object)})
 
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()),
                            T.StructField("score", T.DoubleType()), T.StructField("text", T.StringType())])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirescope.llm import ann, chat, lm_score, media, near_dup, packing, pieces
+from hirescope.llm import ann, chat, licenses, lm_score, media, near_dup, packing, pieces, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,10 @@ FROM w LEFT JOIN d ON w.doc_id = d.doc_id
 """
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_table(spark, sf_dir, "documents"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     extra = spark.range(1).select(F.inline(F.array(*(
@@ -108,9 +116,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op2_lm_score, op4_chat, op5_pieces, op6_media, op7_near_dup, op8_ann, op9_packing)}
+        op1_toxicity, op2_lm_score, op3_licenses, op4_chat, op5_pieces, op6_media, op7_near_dup, op8_ann, op9_packing, op10_pii)}
 
 
 def checks() -> dict[str, str]:
