@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirescope.llm import near_dup, packing, pii, toxicity
-from hirescope.session import scratch
+from hirescope.session import scratch, written
 
 #: Words in a shingle and per cent of similarity from which documents are duplicates.
 SHINGLE, SIMILAR = 5, 80
@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_dup.near_duplicates(docs, size=SHINGLE, percent=SIMILAR)
-    gone = groups.filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(groups.filter("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(near_dup.small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def take_out_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

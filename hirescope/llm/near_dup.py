@@ -9,11 +9,13 @@ of 0.8 a symbol differs with probability 0.2, and more than ``REACH`` of ``SYMBO
 do in one pair of 250,000; at 0.85 in one of 10^8. Pairs that meet and are within
 reach are confirmed on the full sets.
 
-Equal sets are one class before anything is joined. Pairs within a key are not
-all emitted: a key's members first meet the key's smallest class (its hub), a
-round a hub, and a key whose members are already in one component needs no more.
-What remains (members of different components, not yet compared) is compared in
-full once it is no more than linear in the entries, so no link is lost.
+Equal sets are one class before anything is joined. Pairs within a key are not all
+emitted. First each key's members meet its smallest class. A key whose members are
+then in one component needs no more. In keys of up to ``SMALL`` members the members of
+different components meet in a join. Families of classes that meet in larger keys are
+compared in blocks of ``BLOCK`` classes, block against block: signatures first, then
+the full sets, as one product of incidence matrices; a block sends on the links that
+join components, not the pairs it has compared. So no link between components is lost.
 
 Results: ``n_shingles`` (set size), ``component_id`` (smallest id reachable, itself
 included), ``kept`` (id = component_id). Null or empty texts have no shingles and
@@ -39,8 +41,10 @@ from hirescope.session import written
 
 SYMBOLS, CHUNKS, REACH = 48, 12, 23
 WIDTH = SYMBOLS // CHUNKS
-#: Remaining pairs that are compared at once, for each entry of the index.
-PAIRS_PER_ENTRY = 2
+#: Members of a key that are joined with each other; classes in a block of a larger family.
+SMALL, BLOCK = 32, 400
+#: Shingles that are multiplied at once.
+COLUMNS = 20_000
 #: Ids that may be sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -104,7 +108,7 @@ def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x != y).sum(axis=1).astype("int32"))
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """Sent to every executor if it is a written table of few rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -116,7 +120,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"node": batch["doc_id"], "shingles": [shingle_set(t, size).view(np.int64) for t in batch["text"]]})
 
-    found = docs.join(_small(nodes), F.col("doc_id") == F.col("node"), "left_semi")
+    found = docs.join(small(nodes), F.col("doc_id") == F.col("node"), "left_semi")
     return found.mapInPandas(sets, T.StructType([
         T.StructField("node", docs.schema["doc_id"].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))]))
 
@@ -138,58 +142,93 @@ def _within_reach(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(apart("_x", "_y") <= REACH).select("a", "b").distinct()
 
 
-def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return entries.withColumn("component", F.col("node"))
-    return entries.join(labels, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component"))
-
-
-def linked(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """``node``, ``component`` for the classes that have a link; None without any."""
+def _products(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``x`` with every one of ``y``."""
+    flat = np.concatenate([*x, *y])
+    distinct, place, n = np.unique(flat, return_inverse=True, return_counts=True)
+    often = n > 1
+    column = np.where(often, np.cumsum(often) - 1, -1)[place]
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    out = np.zeros((len(x), len(y)), np.float32)
+    for start in range(0, int(often.sum()), COLUMNS):
+        inside = (column >= start) & (column < start + COLUMNS)
+        hit = np.zeros((len(x) + len(y), COLUMNS), np.float32)
+        hit[row[inside], column[inside] - start] = 1
+        out += hit[:len(x)] @ hit[len(x):].T
+    return out
+
+
+def _block_links(group: pd.DataFrame, percent: int) -> list[tuple]:
+    """Links that join components, between the two sides of a block pair or within one."""
+    if group["side"].nunique() > 1:
+        left, right = group[group["side"] == 0], group[group["side"] == 1]
+    else:
+        left = right = group
+    sides = [np.frombuffer(b"".join(g["signature"]), np.uint16).reshape(-1, SYMBOLS) for g in (left, right)]
+    sets = [[np.asarray(s) for s in g["shingles"]] for g in (left, right)]
+    size = [np.array([len(s) for s in x]) for x in sets]
+    both = _products(*sets)
+    near = 100 * both >= percent * (size[0][:, None] + size[1][None] - both)
+    root: dict = {}
+
+    def find(c):
+        while root.setdefault(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    ids, parts = [g["node"].to_numpy() for g in (left, right)], [g["component"].to_numpy() for g in (left, right)]
+    for i, j in zip(*np.nonzero(near), strict=True):
+        p, q = find(parts[0][i]), find(parts[1][j])
+        if p != q and (sides[0][i] != sides[1][j]).sum() <= REACH:
+            root[max(p, q)] = min(p, q)
+            out.append((ids[0][i], ids[1][j]))
+    return out
+
+
+def _family_links(large: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the classes (``key``, ``node``, ``component``) that meet in large keys."""
+    least = large.groupBy("key").agg(F.min("node").alias("_least"))
+    stars = large.join(least, "key").select(F.col("node").alias("a"), F.col("_least").alias("b")).distinct()
+    family = components(stars).withColumnRenamed("component", "family")
+    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    members = family.join(blocks, "family").join(large.groupBy("node").agg(F.first("component").alias("component")), "node")
+    members = members.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).withColumn(
+        "_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    members = members.select(
+        "family", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"),
+        (F.col("_own") > F.col("_other")).cast("int").alias("side"), "node", "component")
+    full = members.join(classes, "node").join(sets, "node")
+    kind = classes.schema["node"].dataType
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_block_links(group, percent), columns=["a", "b"])
+
+    return full.groupBy("family", "i", "j").applyInPandas(links, T.StructType([T.StructField(c, kind) for c in "ab"]))
+
+
+def linked(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """``node``, ``component`` for the classes that have a link."""
     entries = _entries(classes)
-    shared = entries.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
+    shared = entries.groupBy("key").agg(F.count("*").alias("_n"), F.min("node").alias("_hub")).filter("_n > 1")
     entries = written(entries.join(shared, "key"), "entries")
-    total = entries.count()
-    if not total:
-        return None
-    sets = written(_sets(docs, written(entries.select("node").distinct(), "nodes"), size), "sets")
-    links, tested, labels = None, None, None
-    while True:
-        mixed = entries if labels is None else _labelled(entries.select("key", "node"), labels)
-        if labels is None:
-            mixed = _labelled(entries, None)
-        groups = mixed.groupBy("key", "component").agg(F.count("*").alias("_n"), F.min("node").alias("_least"))
-        keys = groups.groupBy("key").agg(
-            F.sum("_n").alias("_all"), F.sum(F.col("_n") * F.col("_n")).alias("_own"), F.count("*").alias("_parts"),
-            F.min_by(F.struct(F.col("_least").alias("node"), F.col("component").alias("component")), F.col("_least")).alias("_hub"),
-        ).filter("_parts > 1")
-        keys = written(keys, "keys")
-        pairs = keys.agg(F.sum((F.col("_all") * F.col("_all") - F.col("_own")) / 2)).first()[0]
-        if not pairs:
-            return labels
-        last = labels is not None and pairs <= PAIRS_PER_ENTRY * total
-        open_ = written(mixed.join(keys.select("key", "_hub"), "key"), "open")
-        if last:
-            x = open_.select("key", F.col("node").alias("a"), F.col("component").alias("_p"))
-            y = open_.select("key", F.col("node").alias("b"), F.col("component").alias("_q"))
-            met = x.join(y, "key").filter("a < b AND _p <> _q").select("a", "b")
-        else:
-            met = open_.filter("component <> _hub.component").select(F.col("node").alias("a"), F.col("_hub.node").alias("b"))
-        near = _within_reach(met, classes)
-        if tested is not None:
-            near = near.join(tested, ["a", "b"], "left_anti")
-        near = written(near, "pairs")
-        found = written(_confirmed(near, sets, percent), "found")
-        tested = near if tested is None else tested.union(near)
-        if found.limit(1).count():
-            links = found if links is None else links.union(found)
-            labels = components(links)
-        elif labels is None:
-            labels = components(found)
-        if last:
-            return labels
-        entries = open_.filter("node <> _hub.node").select("key", "node")
+    nodes = written(entries.select("node").distinct(), "nodes")
+    sets = written(_sets(docs, nodes, size), "sets")
+    stars = entries.filter("node <> _hub").select(F.col("node").alias("a"), F.col("_hub").alias("b"))
+    links = written(_confirmed(_within_reach(stars, classes), sets, percent), "stars")
+    labels = components(links)
+    part = F.coalesce("component", "node").alias("component")
+    entries = entries.join(labels, "node", "left").select("key", "node", "_n", part)
+    mixed = entries.groupBy("key").agg(F.min("component").alias("_p"), F.max("component").alias("_q")).filter("_p <> _q")
+    entries = written(entries.join(mixed.select("key"), "key"), "mixed")
+    few = entries.filter(F.col("_n") <= SMALL)
+    x = few.select("key", F.col("node").alias("a"), F.col("component").alias("_p"))
+    y = few.select("key", F.col("node").alias("b"), F.col("component").alias("_q"))
+    met = x.join(y, "key").filter("a < b AND _p <> _q").select("a", "b")
+    found = written(_confirmed(_within_reach(met, classes), sets, percent), "joined")
+    large = entries.filter(F.col("_n") > SMALL).select("key", "node", "component")
+    families = written(_family_links(large, classes, sets, percent), "families")
+    return components(links.union(found).union(families))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -206,10 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(classes, "classes")
     labels = linked(docs.filter("doc_id IS NOT NULL"), classes.select("node", "signature"), size, percent)
     named = classes.select("set_id", "node")
-    if labels is not None:
-        named = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    else:
-        named = named.withColumn("component", F.col("node"))
+    named = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # One set may be linked through several ids only if an id has several texts.
     named = named.groupBy("set_id").agg(F.min("component").alias("component_id"))
     joined = rows.join(named, "set_id", "left")
