@@ -44,7 +44,7 @@ WIDTH = SYMBOLS // CHUNKS
 #: Members of a key that are joined with each other; classes in a block of a larger family.
 SMALL, BLOCK = 32, 400
 #: Shingles that are multiplied at once.
-COLUMNS = 20_000
+COLUMNS = 8_000
 #: Ids that may be sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -118,7 +118,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["doc_id"], "shingles": [shingle_set(t, size).view(np.int64) for t in batch["text"]]})
+            for i in range(0, len(batch), 500):
+                part = batch.iloc[i:i + 500]
+                yield pd.DataFrame({"node": part["doc_id"], "shingles": [shingle_set(t, size).view(np.int64) for t in part["text"]]})
 
     found = docs.join(small(nodes), F.col("doc_id") == F.col("node"), "left_semi")
     return found.mapInPandas(sets, T.StructType([

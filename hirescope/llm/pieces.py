@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Stretches a worker remembers before it starts afresh.
-ROOM = 400_000
+ROOM = 250_000
 _STRETCH = re.compile(" *[^ ]+| +")
 
 

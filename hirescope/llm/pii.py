@@ -41,7 +41,7 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, SUPPORT = 8, 2
 REMOVE_BITS, GENERALISE_BITS = 1.0, 2.0
 #: Distinct terms a worker counts before it passes the counts on.
-ROOM = 300_000
+ROOM = 150_000
 #: Rows that may be sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 

@@ -25,6 +25,7 @@ from every score is the share of toxic labels, or 0. Other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ THRESHOLD = 0.3
 WORST = 4
 FACTS = WORST + 1
 #: Words whose score a worker remembers before it starts afresh.
-ROOM = 400_000
+ROOM = 200_000
 
 _TRIPLES = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -110,6 +111,7 @@ class Machine:
 
     def __init__(self, codes: np.ndarray, weights: np.ndarray, bias: float):
         self.codes, self.weights, self.bias, self.curve = codes, weights, bias, np.zeros(FACTS + 1)
+        self.name = uuid.uuid4().hex
         self.bloom = np.zeros(1 << 16, bool)
         self.bloom[(codes * _BLOOM) >> np.uint64(48)] = True
 
@@ -124,8 +126,8 @@ class Machine:
 
     def learn(self, known: dict[str, float], fresh: list[str]) -> None:
         """Enter the worst reading of each token."""
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i:i + 20_000]
+        for i in range(0, len(fresh), 2_000):
+            part = fresh[i:i + 2_000]
             read = [readings(t) for t in part]
             flat = [w for r in read for w in r]
             scores = iter(self.words(flat).tolist()) if flat else iter(())
@@ -309,13 +311,22 @@ def _worst(clean: DataFrame, fitted: Machine) -> list[str]:
     return [r["word"] for r in top.collect()]
 
 
+#: Scores by token that this worker remembers, of the last machine it met.
+_remembered: dict[str, dict[str, float]] = {}
+
+
+def _known_to(fitted: Machine) -> dict[str, float]:
+    if fitted.name not in _remembered:
+        _remembered.clear()
+    return _remembered.setdefault(fitted.name, {})
+
+
 def _facts(rows: DataFrame, fitted: Machine) -> DataFrame:
     """``facts`` of each row in place of ``text``."""
-    known: dict[str, float] = {}
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.drop(columns="text").assign(facts=list(fitted.texts(batch["text"].tolist(), known)))
+            yield batch.drop(columns="text").assign(facts=list(fitted.texts(batch["text"].tolist(), _known_to(fitted))))
 
     fields = [f for f in rows.schema if f.name != "text"]
     return rows.mapInPandas(read, T.StructType([*fields, T.StructField("facts", T.ArrayType(T.DoubleType()))]))
@@ -353,10 +364,9 @@ def kept(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFram
     fitted = trained(docs.select("doc_id", F.col(text_col).alias("text")), labels)
     if isinstance(fitted, float):
         return docs
-    known: dict[str, float] = {}
 
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series(fitted.probability(fitted.texts(text.tolist(), known)))
+        return pd.Series(fitted.probability(fitted.texts(text.tolist(), _known_to(fitted))))
 
     toxic = F.pandas_udf(score, T.DoubleType())
     return docs.filter(toxic(text_col) < THRESHOLD)

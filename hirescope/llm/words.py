@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words remembered by a worker before it starts afresh: bounds its memory.
-ROOM = 400_000
+ROOM = 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
