@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirescope.llm.words import ascii_words, finish, word_hashes
+from hirescope.llm.words import ascii_words, finish, mapped, word_hashes
 from hirescope.session import written
 
 BACKOFF = 0.4
@@ -63,7 +63,7 @@ def numbered(docs: DataFrame) -> DataFrame:
         if ids:
             yield pd.DataFrame([chunk_of(ids, parts)])
 
-    return docs.mapInPandas(number, T.StructType([
+    return mapped(docs, number, T.StructType([
         T.StructField("chunk", T.LongType()), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)),
         T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("places", T.BinaryType()),
         T.StructField("vocabulary", T.BinaryType())]))
@@ -103,7 +103,7 @@ def _dealt(chunks: DataFrame, tables: int) -> DataFrame:
                     yield pd.DataFrame([(row.chunk, order, int(table[at]), k.tobytes(), n.tobytes()) for at, k, n in zip(
                         [0, *cuts], keys, counts, strict=True) if len(k)], columns=["chunk", "n", "table", "keys", "counts"])
 
-    return chunks.mapInPandas(deal, "chunk long, n int, table int, keys binary, counts binary")
+    return mapped(chunks, deal, "chunk long, n int, table int, keys binary, counts binary")
 
 
 def _summed(group: pd.DataFrame) -> pd.DataFrame:

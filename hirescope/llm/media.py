@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hirescope.llm.words import mapped
+
 RATE, UNIT = 8000, 64
 #: Samples in a frame and between frames; frames in a zone; bands of frequencies.
 FRAME, HOP, ZONE, BANDS = 64, 32, 32, 4
@@ -117,4 +119,4 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *_SCHEMA,
                            *[T.StructField("media", T.BinaryType())] * keep_media])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(store, schema)
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), store, schema)

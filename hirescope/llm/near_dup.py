@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirescope.llm.components import components
-from hirescope.llm.words import ascii_words, finish, rolling, word_hashes
+from hirescope.llm.words import ascii_words, finish, mapped, rolling, word_hashes
 from hirescope.session import written
 
 SYMBOLS, CHUNKS, REACH = 48, 12, 23
@@ -79,7 +79,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                 signatures.append(signature(s).tobytes() if len(s) else None)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "set_id": ids, "signature": signatures})
 
-    return docs.mapInPandas(sign, T.StructType([
+    return mapped(docs, sign, T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()),
         T.StructField("set_id", T.BinaryType()), T.StructField("signature", T.BinaryType())]))
 
@@ -98,7 +98,7 @@ def _entries(classes: DataFrame) -> DataFrame:
                 keys = finish(packed + tag).reshape(len(batch), -1).view(np.int64)
                 yield pd.DataFrame({"key": keys.ravel(), "node": batch["node"].repeat(keys.shape[1]).to_numpy()})
 
-    return classes.select("node", "signature").mapInPandas(entries, T.StructType([
+    return mapped(classes.select("node", "signature"), entries, T.StructType([
         T.StructField("key", T.LongType()), T.StructField("node", classes.schema["node"].dataType)]))
 
 
@@ -118,12 +118,10 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch.iloc[i:i + 500]
-                yield pd.DataFrame({"node": part["doc_id"], "shingles": [shingle_set(t, size).view(np.int64) for t in part["text"]]})
+            yield pd.DataFrame({"node": batch["doc_id"], "shingles": [shingle_set(t, size).view(np.int64) for t in batch["text"]]})
 
     found = docs.join(small(nodes), F.col("doc_id") == F.col("node"), "left_semi")
-    return found.mapInPandas(sets, T.StructType([
+    return mapped(found, sets, T.StructType([
         T.StructField("node", docs.schema["doc_id"].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))]))
 
 

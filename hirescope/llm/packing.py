@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hirescope.llm.words import mapped
 from hirescope.session import written
 
 CAPACITY = 2048
@@ -134,7 +135,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), *(
         T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32"))])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, schema)
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), cut, schema)
 
 
 class _Sweeps:

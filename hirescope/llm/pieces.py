@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hirescope.llm.words import mapped
+
 MARK = "▁"
 #: Stretches a worker remembers before it starts afresh.
 ROOM = 250_000
@@ -135,7 +137,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType),
                            T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(encode, schema)
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), encode, schema)
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -151,4 +153,4 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()),
                            T.StructField("score", T.DoubleType()), T.StructField("text", T.StringType())])
-    return rows.select("doc_id", "ids", "score").mapInPandas(decode, schema)
+    return mapped(rows.select("doc_id", "ids", "score"), decode, schema)

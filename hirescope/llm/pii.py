@@ -31,10 +31,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hirescope.llm.near_dup import small
+from hirescope.llm.words import mapped, slices
 from hirescope.session import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -42,8 +45,6 @@ WINDOW, SUPPORT = 8, 2
 REMOVE_BITS, GENERALISE_BITS = 1.0, 2.0
 #: Distinct terms a worker counts before it passes the counts on.
 ROOM = 150_000
-#: Rows that may be sent to every executor; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 
 # The patterns of the base kinds.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -138,8 +139,8 @@ def contexts(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> D
                 rows += [(key, *r) for r in _beside(text, base_spans(text), window)]
             yield pd.DataFrame(rows, columns=["key", "entity", "term", "start", "end", "about"], dtype=object)
 
-    return _keyed(docs, text_col).select("_key", "_text").mapInPandas(
-        beside, "key binary, entity string, term string, start long, end long, about long")
+    return mapped(
+        _keyed(docs, text_col).select("_key", "_text"), beside, "key binary, entity string, term string, start long, end long, about long")
 
 
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -163,7 +164,7 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                         yield terms()
         yield terms()
 
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(count, "term string, n long")
+    return mapped(docs.select(F.col(text_col).alias("text")), count, "term string, n long")
 
 
 def _ascii_split(text: str) -> list[str]:
@@ -182,7 +183,7 @@ def disclosing(docs: DataFrame, text_col: str = "text", window: int = WINDOW, su
         F.count("*").alias("together"), F.count_distinct("about").alias("surroundings")).filter(
         F.col("surroundings") >= support), "pairs")
     wanted = written(pairs.select("term").distinct(), "terms")
-    counts = term_counts(docs, text_col).join(_small(wanted), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = term_counts(docs, text_col).join(small(wanted), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
     bits = -F.log2(F.col("together") / F.col("n"))
     judged = pairs.join(counts, "term").withColumn("bits", bits).filter(F.col("bits") <= generalise)
     kind = F.when(F.col("bits") <= remove, "term").otherwise("general")
@@ -192,10 +193,6 @@ def disclosing(docs: DataFrame, text_col: str = "text", window: int = WINDOW, su
         F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_terms, base_sha256, spans."""
 
@@ -213,9 +210,9 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     span = "array<struct<start:long,end:long,kind:string>>"
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("key", T.BinaryType()), *(
         T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()),
-        T.StructField("base", T._parse_datatype_string(span))])
+        T.StructField("base", T.DataType.fromDDL(span))])
     rows = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
-    rows = rows.select("doc_id", "_key", "_text").mapInPandas(base, schema)
+    rows = mapped(rows.select("doc_id", "_key", "_text"), base, schema)
     terms = disclosing(docs, text_col).withColumnRenamed("spans", "terms")
     order = F.array(*(F.lit(k) for k in (*KINDS, "general", "term")))
     both = F.array_sort(F.transform(F.concat("base", F.coalesce("terms", F.expr(f"cast(array() as {span})"))), lambda s: F.struct(
@@ -245,15 +242,17 @@ def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with its findings taken out of the text; null texts stay null."""
     terms = written(disclosing(docs, text_col).withColumnRenamed("key", "_key").withColumnRenamed("spans", "_terms"), "terms")
 
-    def redact(text: pd.Series, terms: pd.Series) -> pd.Series:
-        out = []
-        for t, extra in zip(text, terms, strict=True):
-            spans = base_spans(t) if t else []
-            if extra is not None and len(extra):
-                spans = sorted(spans + [(x["start"], x["end"], x["kind"]) for x in extra], key=lambda s: (s[0], s[1]))
-            out.append(redacted(t, spans) if spans else t)
-        return pd.Series(out, dtype=object)
-
-    text = F.pandas_udf(redact, T.StringType())
-    keyed = _keyed(docs, text_col).drop("_text")
-    return keyed.join(_small(terms), "_key", "left").withColumn(text_col, text(text_col, "_terms")).select(*docs.columns)
+    place, width = docs.columns.index(text_col), len(docs.columns)
+
+    def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            text = pa.array(map(clean, batch.column(place).to_pylist(), batch.column(width).to_pylist()), batch.schema.field(place).type)
+            yield batch.set_column(place, batch.schema.field(place), text).select(list(range(width)))
+
+    def clean(text: str | None, extra: list[dict] | None) -> str | None:
+        spans = base_spans(text) if text else []
+        spans += [(x["start"], x["end"], x["kind"]) for x in extra or ()]
+        return redacted(text, sorted(spans, key=lambda s: s[:2])) if spans else text
+
+    keyed = _keyed(docs, text_col).drop("_text").join(small(terms), "_key", "left")
+    return keyed.select(*docs.columns, "_terms").mapInArrow(redact, docs.schema)

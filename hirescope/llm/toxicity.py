@@ -30,10 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hirescope.llm.words import mapped, slices
+from hirescope.session import written
+
 SPAN, DECAY = 6, 0.7
 #: Characters of a word that are read at once; longer words are read in stretches.
 LONGEST = 24
@@ -235,7 +239,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"word": pd.Series([*words, *stems], dtype=object), "stem": [False] * len(words) + [True] * len(stems),
                                     "toxic": int(toxic), "clean": 1 - int(toxic)})
 
-    return sample.mapInPandas(count, "word string, stem boolean, toxic long, clean long").groupBy("word", "stem").agg(
+    return mapped(sample, count, "word string, stem boolean, toxic long, clean long").groupBy("word", "stem").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -269,8 +273,6 @@ def trained(docs: DataFrame, labels: DataFrame) -> Machine | float:
     """A machine fitted on the labelled rows that are not held out; the share of toxic
     ones where one of the labels is missing. ``docs``: doc_id, text; ``labels``:
     doc_id, toxic."""
-    from hirescope.session import written
-
     own = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
         "doc_id", "toxic").distinct()
     shuffled = [F.xxhash64("doc_id"), "doc_id"]
@@ -307,7 +309,7 @@ def _worst(clean: DataFrame, fitted: Machine) -> list[str]:
         for batch in batches:
             yield batch.assign(score=fitted.words(batch["word"].tolist()) if len(batch) else [])
 
-    top = clean.mapInPandas(score, "word string, score double").orderBy(F.desc("score"), "word").limit(FITTED // 4)
+    top = mapped(clean, score, "word string, score double").orderBy(F.desc("score"), "word").limit(FITTED // 4)
     return [r["word"] for r in top.collect()]
 
 
@@ -329,7 +331,7 @@ def _facts(rows: DataFrame, fitted: Machine) -> DataFrame:
             yield batch.drop(columns="text").assign(facts=list(fitted.texts(batch["text"].tolist(), _known_to(fitted))))
 
     fields = [f for f in rows.schema if f.name != "text"]
-    return rows.mapInPandas(read, T.StructType([*fields, T.StructField("facts", T.ArrayType(T.DoubleType()))]))
+    return mapped(rows, read, T.StructType([*fields, T.StructField("facts", T.ArrayType(T.DoubleType()))]))
 
 
 def _curve(facts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -365,8 +367,11 @@ def kept(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFram
     if isinstance(fitted, float):
         return docs
 
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(fitted.probability(fitted.texts(text.tolist(), _known_to(fitted))))
+    place = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            facts = fitted.texts(batch.column(place).to_pylist(), _known_to(fitted))
+            yield batch.filter(pa.array(fitted.probability(facts) < THRESHOLD))
 
-    toxic = F.pandas_udf(score, T.DoubleType())
-    return docs.filter(toxic(text_col) < THRESHOLD)
+    return docs.mapInArrow(clean, docs.schema)

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Words remembered by a worker before it starts afresh: bounds its memory.
 ROOM = 200_000
 
+#: Rows that a worker turns into Python objects at a time: texts may be long.
+ROWS = 250
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -48,3 +58,22 @@ def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     for i in range(size):
         out = finish(out + hashes[i: len(hashes) - size + 1 + i] + _MIX)
     return out
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
+def mapped(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+           schema: T.StructType | str) -> DataFrame:
+    """``mapInPandas`` over few rows at a time; whole numbers stay whole beside nulls."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in fn(part.to_pandas(integer_object_nulls=True) for part in slices(batches)):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
