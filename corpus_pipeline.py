@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirescope.llm import near_dup, packing, pii, toxicity
+from hirescope.llm.words import set_up
 from hirescope.session import scratch, written
 
 #: Words in a shingle and per cent of similarity from which documents are duplicates.
@@ -22,21 +23,25 @@ SHINGLE, SIMILAR = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    set_up(spark)
     return toxicity.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    set_up(spark)
     groups = near_dup.near_duplicates(docs, size=SHINGLE, percent=SIMILAR)
     gone = written(groups.filter("NOT kept").select("doc_id").distinct(), "gone")
     return docs.join(near_dup.small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def take_out_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    set_up(spark)
     clean = pii.sanitised(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    set_up(spark)
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

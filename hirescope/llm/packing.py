@@ -41,7 +41,7 @@ CAPACITY = 2048
 #: Groups that the documents of one length are numbered in.
 SALTS = 128
 #: Chunks of text whose ids a worker remembers before it starts afresh.
-ROOM = 250_000
+ROOM = 150_000
 
 # The vocabulary's rule for cutting text before it merges.
 CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -31,7 +31,7 @@ from hirescope.llm.words import mapped
 
 MARK = "▁"
 #: Stretches a worker remembers before it starts afresh.
-ROOM = 250_000
+ROOM = 150_000
 _STRETCH = re.compile(" *[^ ]+| +")
 
 

@@ -44,7 +44,7 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, SUPPORT = 8, 2
 REMOVE_BITS, GENERALISE_BITS = 1.0, 2.0
 #: Distinct terms a worker counts before it passes the counts on.
-ROOM = 150_000
+ROOM = 80_000
 
 # The patterns of the base kinds.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirescope.llm import ann, chat, licenses, lm_score, media, near_dup, packing, pieces, pii, toxicity
+from hirescope.llm.words import set_up
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +18,7 @@ PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    set_up(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

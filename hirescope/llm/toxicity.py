@@ -52,7 +52,7 @@ THRESHOLD = 0.3
 WORST = 4
 FACTS = WORST + 1
 #: Words whose score a worker remembers before it starts afresh.
-ROOM = 200_000
+ROOM = 80_000
 
 _TRIPLES = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"

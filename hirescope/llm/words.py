@@ -8,15 +8,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Words remembered by a worker before it starts afresh: bounds its memory.
-ROOM = 200_000
+ROOM = 100_000
 
 #: Rows that a worker turns into Python objects at a time: texts may be long.
 ROWS = 250
+ARROW_ROWS = 1000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
@@ -60,6 +61,14 @@ def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def set_up(spark: SparkSession) -> None:
+    """A job's setting for long texts: few rows in an Arrow batch, so that neither side
+    of a Python worker holds thousands of texts at once. Jobs call it, operators don't."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, ROWS):
