@@ -210,7 +210,8 @@ def fold_sightings(sightings: DataFrame, labels: Iterable[str] = SEEN_LABELS) ->
     and the first sighting's label.
 
     Runs are counted in two steps (uid and run, then uid), which also makes
-    several copies in one run count once.
+    several copies in one run count once. ``runs`` and ``first_arrival`` are what
+    a merge needs: a posting's runs are few, one for each day it was open.
     """
     labels = [c for c in labels if c in sightings.columns]
     per_run = sightings.groupBy("uid", "run_ts").agg(
@@ -224,29 +225,32 @@ def fold_sightings(sightings: DataFrame, labels: Iterable[str] = SEEN_LABELS) ->
             F.count("*").alias("times_seen"),
             F.max_by("score", "run_ts").alias("score"),
             F.min_by("label", "run_ts").alias("label"),
+            F.sort_array(F.collect_list("run_ts")).alias("runs"),
         )
         .select("uid", "first_seen", "last_seen", "times_seen", "score",
-                *[F.col(f"label.{c}").alias(c) for c in labels])
+                *[F.col(f"label.{c}").alias(c) for c in labels],
+                "runs", F.col("label.arrival").alias("first_arrival"))
     )
 
 
 def merge_seen(state: DataFrame, run: DataFrame) -> DataFrame:
-    """H03 incrementally: the stored table and one newer fold make the next
-    table. Only the run's own rows are folded; the state is joined once."""
+    """H03 incrementally: the stored table and another fold make the next table,
+    in whatever order the folds come and whether or not they share runs. Only the
+    fold's own rows are new; the state is joined once."""
     labels = [c for c in SEEN_LABELS if c in state.columns and c in run.columns]
     s, r = state.alias("s"), run.alias("r")
+    runs = F.sort_array(F.array_distinct(F.concat(*(F.coalesce(f"{t}.runs", F.expr("array()").cast(state.schema["runs"].dataType)) for t in "sr"))))
+    newer = F.col("s.uid").isNull() | (F.col("r.last_seen") > F.col("s.last_seen"))
+    same = F.col("r.last_seen") == F.col("s.last_seen")
+    earlier = F.col("s.uid").isNull() | (F.col("r.uid").isNotNull() & (F.struct("r.first_seen", "r.first_arrival") < F.struct("s.first_seen", "s.first_arrival")))
     return s.join(r, F.col("s.uid") == F.col("r.uid"), "full_outer").select(
         F.coalesce("s.uid", "r.uid").alias("uid"),
-        F.coalesce("s.first_seen", "r.first_seen").alias("first_seen"),
-        F.coalesce("r.last_seen", "s.last_seen").alias("last_seen"),
-        (F.coalesce("s.times_seen", F.lit(0)) + F.coalesce("r.times_seen", F.lit(0))).alias(
-            "times_seen"
-        ),
-        F.coalesce("r.score", "s.score").alias("score"),
-        *[
-            F.when(F.col("s.uid").isNotNull(), F.col(f"s.{c}")).otherwise(F.col(f"r.{c}")).alias(c)
-            for c in labels
-        ],
+        F.least("s.first_seen", "r.first_seen").alias("first_seen"),
+        F.greatest("s.last_seen", "r.last_seen").alias("last_seen"),
+        F.size(runs).cast("long").alias("times_seen"),
+        F.when(newer, F.col("r.score")).when(same, F.greatest("s.score", "r.score")).otherwise(F.col("s.score")).alias("score"),
+        *[F.when(earlier, F.col(f"r.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in (*labels, "first_arrival")],
+        runs.alias("runs"),
     )
 
 

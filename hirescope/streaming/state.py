@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import (
-    BooleanType, DataType, IntegerType, LongType, StringType, StructField, StructType, TimestampType,
+    ArrayType, BooleanType, DataType, IntegerType, LongType, StringType, StructField, StructType, TimestampType,
 )
 
 from ..operators.applications import follow_ups_due
@@ -33,7 +33,7 @@ SEEN_OUT = _fields(
     ("is_new", BooleanType()), ("ghost", BooleanType()),
 )
 _STATE = _fields(
-    ("first_us", LongType()), ("last_us", LongType()), ("times", IntegerType()), ("score", IntegerType())
+    ("runs", ArrayType(LongType())), ("score", IntegerType())
 )
 
 
@@ -58,18 +58,20 @@ class SeenProcessor(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values("run_ts", kind="stable")
         state = self.seen.get() if self.seen.exists() else None
         known = state is not None
-        first, last, times, score = state if known else (None, None, 0, 0)
-        # Runs older than the last one recorded were folded already.
+        runs, score = (set(state[0]), state[1]) if known else (set(), 0)
+        # A run that comes late, or again, counts once; the score is the latest run's.
         for run, copies in batch.groupby("run_ts", sort=True):
-            us = _micros(run)
-            first = us if first is None else min(first, us)
-            if last is None or us > last:
-                times, last = times + 1, us
-                score = int(copies["score"].max())
+            us, best = _micros(run), int(copies["score"].max())
+            if not runs or us > max(runs):
+                score = best
+            elif us == max(runs):
+                score = max(score, best)
+            runs.add(us)
+        first, last, times = min(runs), max(runs), len(runs)
         if not known:
             expiry = _stamp(first) + timedelta(days=SEEN_RETENTION_DAYS)
             self.handle.registerTimer(int(expiry.replace(tzinfo=timezone.utc).timestamp() * 1000))
-        self.seen.update((first, last, times, score))
+        self.seen.update((sorted(runs), score))
         # A missing date stays missing.
         dates = batch["posted_at"].dropna()
         posted = min(dates.iloc[-1].to_pydatetime(), _stamp(first)) if len(dates) else None

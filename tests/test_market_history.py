@@ -129,3 +129,22 @@ def test_repost_title_keys(spark):
             assert r["got"] == "power bi developer"
         else:
             assert r["got"] == r["want"], r
+
+
+def test_merge_seen_in_any_order(spark):
+    """The same runs split over batches, out of order, fold to one table."""
+    from datetime import datetime
+
+    from hirescope.operators import history
+
+    rows = [("a", datetime(2026, 1, d), 10 * d + k, 100 * d + k, f"t{d}{k}") for d in (3, 1, 2) for k in (0, 1)]
+    rows += [("b", datetime(2026, 1, 2), 5, 7, "b")]
+    schema = "uid string, run_ts timestamp, score int, arrival long, title string"
+    whole = history.fold_sightings(spark.createDataFrame(rows, schema))
+    for order in ([0, 3, 1, 2, 4, 5, 6], [6, 5, 4, 3, 2, 1, 0]):
+        state = None
+        for i in order:
+            fold = history.fold_sightings(spark.createDataFrame([rows[i]], schema))
+            state = fold if state is None else history.merge_seen(state, fold)
+        names = ["uid", "first_seen", "last_seen", "times_seen", "score", "title"]
+        assert sorted(state.select(names).collect()) == sorted(whole.select(names).collect())
