@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hirescope.session import written
+
 # Phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Passages of well-known licenses, and their labels.
@@ -73,7 +75,7 @@ def _votes(texts: DataFrame) -> DataFrame:
         F.broadcast(templates),  # a fixed table of some hundred rows
         (F.xxhash64("dw", "dv") == F.xxhash64("w", "v")) & (F.col("dw") == F.col("w")) & (F.col("dv") == F.col("v")))
     place = ["key", "template", "label", "is_base", "pairs", (F.col("d") - F.col("at")).alias("diagonal")]
-    masks = hits.groupBy(*place, "part").agg(F.bit_or("bit").alias("mask"))
+    masks = written(hits.groupBy(*place, "part").agg(F.bit_or("bit").alias("mask")), "votes")
     diagonals = masks.withColumn("votes", F.bit_count("mask"))
     base = diagonals.filter("is_base").groupBy("key", "template", "label", "is_base", "pairs", "diagonal").agg(
         F.sum("votes").alias("votes")).filter("votes = pairs").select(
