@@ -100,6 +100,8 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.max(F.when(own, F.col("first"))).cast("long").alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.when(own, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.max("share").alias("score"))
+    # Read from a table, so that a text with many copies may be split in the join below.
+    found = written(found, "labels")
     counted = rows.select("doc_id", "key", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     none = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
     joined = counted.join(found, "key", "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
