@@ -26,7 +26,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -51,12 +53,19 @@ THRESHOLD = 0.3
 #: Places of a text that its probability is read from; and the number of facts on a text.
 WORST = 4
 FACTS = WORST + 1
-#: Words whose score a worker remembers before it starts afresh.
-ROOM = 80_000
+#: Words whose score a worker remembers before it forgets the older ones, down to half.
+ROOM = 120_000
 
 _TRIPLES = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+_WEIGHTS = np.array([DECAY ** (b + 1) for b in range(2, SPAN)], np.float32)
+#: Bits of a character in a code (the last plane of Unicode, of private characters, falls
+#: on the first), and bits for the place of a weight.
+_CHAR, _WEIGHT = np.uint64(20), np.uint64(2)
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_SPELLED = re.compile(r"(?<!\S)\w(?:[ .*_-]\w){3,}(?!\S)")
+#: Single characters, for a text with white space before it: a pattern that begins with
+#: a set of characters is searched for faster than one that begins with a look-behind.
+_SEPARATES = np.isin(np.arange(129), [ord(c) for c in " .*_-"])
+_SPELLED = re.compile(r"\s\w(?:[ .*_-]\w){3,}(?!\S)")
 _BLOOM = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,14 +79,15 @@ def _subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np
             continue
         size = high + 1
         c = np.array(["\x02" + words[i] + "\x03" for i in rows], dtype=f"U{size + SPAN}").view(np.uint32)
-        c = c.reshape(len(rows), -1).astype(np.uint64)
-        codes = np.concatenate([np.where(
-            c[:, b:size + b] > 0, c[:, :size] << np.uint64(42) | c[:, a:size + a] << np.uint64(21) | c[:, b:size + b], 0)
+        c = c.reshape(len(rows), -1).astype(np.uint64) & np.uint64(0xFFFFF)
+        # A weight goes with its code as the code's low bits, so plain sorting keeps them together.
+        both = np.concatenate([np.where(
+            c[:, b:size + b] > 0,
+            ((c[:, :size] << _CHAR | c[:, a:size + a]) << _CHAR | c[:, b:size + b]) << _WEIGHT | np.uint64(b - 2), 0)
             for a, b in _TRIPLES], axis=1)
-        weight = np.repeat([DECAY ** (b + 1) for _, b in _TRIPLES], size).astype(np.float32)
-        order = np.argsort(codes, axis=1)
-        codes, weights = np.take_along_axis(codes, order, 1), np.where(codes > 0, weight, np.float32(0))
-        weights = np.take_along_axis(weights, order, 1)
+        both.sort(axis=1)
+        codes = both >> _WEIGHT
+        weights = np.where(codes > 0, _WEIGHTS[both & np.uint64(3)], np.float32(0))
         flat = codes.ravel()
         fresh = np.ones(codes.shape, bool)
         fresh[:, 1:] = codes[:, 1:] != codes[:, :-1]
@@ -95,19 +105,27 @@ def _stretches(word: str) -> list[str]:
     return [word[i:i + LONGEST] for i in range(0, len(word) - step, step)]
 
 
-def readings(token: str) -> list[str]:
+def readings(word: str) -> list[str]:
     """The words a token may be: as written, and its letters alone."""
-    word = token.strip(_EDGE)
+    if len(word) <= LONGEST and word.isalpha():
+        return [word]
     letters = word if word.isalpha() else "".join(filter(str.isalpha, word))
     return [s for w in dict.fromkeys((word, letters)) if w for s in _stretches(w)]
 
 
+def _may_spell(text: str) -> bool:
+    """Whether separators stand at three places two apart, as in any spelled word."""
+    s = _SEPARATES[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)]
+    return len(s) > 4 and bool((s[:-4] & s[2:-2] & s[4:]).any())
+
+
 def tokens(text: str | None) -> list[str]:
+    """Stretches without white space, without punctuation at their ends."""
     if not text:
         return []
     text = text.lower()
-    spelled = [re.sub(r"\W|_", "", m[0]) for m in _SPELLED.finditer(text)]
-    return text.split() + spelled
+    spelled = [re.sub(r"\W|_", "", m[0]) for m in _SPELLED.finditer(" " + text)] if _may_spell(text) else []
+    return [t.strip(_EDGE) for t in text.split()] + spelled
 
 
 class Machine:
@@ -134,15 +152,17 @@ class Machine:
             part = fresh[i:i + 2_000]
             read = [readings(t) for t in part]
             flat = [w for r in read for w in r]
-            scores = iter(self.words(flat).tolist()) if flat else iter(())
+            scores = self.words(flat).tolist() if flat else []
+            if len(flat) == len(part) and all(read):
+                known.update(zip(part, scores, strict=True))
+                continue
+            rest = iter(scores)
             for token, r in zip(part, read, strict=True):
-                known[token] = max((next(scores) for _ in r), default=self.bias)
+                known[token] = max((next(rest) for _ in r), default=self.bias)
 
     def texts(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
         """The scores of the ``WORST`` worst places of each text, and its length's
         logarithm."""
-        if len(known) > ROOM:
-            known.clear()
         out = np.full((len(texts), FACTS), self.bias)
         for i in range(0, len(texts), 200):
             parts = [tokens(t) for t in texts[i:i + 200]]
@@ -153,7 +173,8 @@ class Machine:
                 out[row, :len(top)] = top
                 out[row, WORST] = np.log1p(len(p))
             if len(known) > ROOM:
-                known.clear()
+                for token in list(islice(known, len(known) - ROOM // 2)):
+                    del known[token]
         return out
 
     def probability(self, facts: np.ndarray) -> np.ndarray:
@@ -233,11 +254,14 @@ def _word_counts(sample: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            words, stems = (Counter(), Counter()), (Counter(), Counter())
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                words = {w for t in set(tokens(text)) for w in readings(t)}
-                stems = {w[:n] for w in words for n in STEMS if len(w) > n}
-                yield pd.DataFrame({"word": pd.Series([*words, *stems], dtype=object), "stem": [False] * len(words) + [True] * len(stems),
-                                    "toxic": int(toxic), "clean": 1 - int(toxic)})
+                own = {w for t in set(tokens(text)) for w in readings(t)}
+                words[int(toxic)].update(own)
+                stems[int(toxic)].update({w[:n] for w in own for n in STEMS if len(w) > n})
+            rows = [(w, kind, clean[w], toxic[w]) for kind, (clean, toxic) in ((False, words), (True, stems))
+                    for w in clean.keys() | toxic.keys()]
+            yield pd.DataFrame(rows, columns=["word", "stem", "clean", "toxic"])
 
     return mapped(sample, count, "word string, stem boolean, toxic long, clean long").groupBy("word", "stem").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
