@@ -54,7 +54,7 @@ THRESHOLD = 0.3
 WORST = 4
 FACTS = WORST + 1
 #: Words whose score a worker remembers before it forgets the older ones, down to half.
-ROOM = 120_000
+ROOM = 200_000
 
 _TRIPLES = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _WEIGHTS = np.array([DECAY ** (b + 1) for b in range(2, SPAN)], np.float32)
@@ -81,9 +81,11 @@ def _subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np
         c = np.array(["\x02" + words[i] + "\x03" for i in rows], dtype=f"U{size + SPAN}").view(np.uint32)
         c = c.reshape(len(rows), -1).astype(np.uint64) & np.uint64(0xFFFFF)
         # A weight goes with its code as the code's low bits, so plain sorting keeps them together.
-        both = np.concatenate([np.where(
-            c[:, b:size + b] > 0,
-            ((c[:, :size] << _CHAR | c[:, a:size + a]) << _CHAR | c[:, b:size + b]) << _WEIGHT | np.uint64(b - 2), 0)
+        last = c << _WEIGHT
+        middle = last << _CHAR
+        first = (middle << _CHAR)[:, :size]
+        both = np.concatenate([
+            (first | middle[:, a:size + a] | last[:, b:size + b] | np.uint64(b - 2)) * (c[:, b:size + b] > 0)
             for a, b in _TRIPLES], axis=1)
         both.sort(axis=1)
         codes = both >> _WEIGHT
@@ -148,8 +150,8 @@ class Machine:
 
     def learn(self, known: dict[str, float], fresh: list[str]) -> None:
         """Enter the worst reading of each token."""
-        for i in range(0, len(fresh), 2_000):
-            part = fresh[i:i + 2_000]
+        for i in range(0, len(fresh), 4_000):
+            part = fresh[i:i + 4_000]
             read = [readings(t) for t in part]
             flat = [w for r in read for w in r]
             scores = self.words(flat).tolist() if flat else []
