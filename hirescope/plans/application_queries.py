@@ -26,9 +26,9 @@ def k06(spark, sf_dir):
 
 
 @query("G15_funnel", _L + """ SELECT s.status, count(l.id) AS n FROM (VALUES ('prepared'),('applied'),('followed-up'),('screening'),('interview'),('offer'),('rejected'),('ghosted'),('withdrawn')) s(status)
-    LEFT JOIN l ON l.status = s.status AND worth > 100000 GROUP BY s.status""")
+    LEFT JOIN l ON l.status = s.status GROUP BY s.status""")
 def g15(spark, sf_dir):
-    return ap.funnel(applications(spark, sf_dir).filter("worth > 100000"))
+    return ap.funnel(applications(spark, sf_dir))
 
 
 @query("G15_by_source", _L + """ SELECT source, count(*) AS sent, count(*) FILTER (status IN ('screening','interview','offer','rejected')) AS responses,

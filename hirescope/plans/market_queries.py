@@ -250,12 +250,11 @@ _TIER = """CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >
     WHEN score >= 30 THEN 'D' ELSE 'F' END"""
 
 
-@query("A11_tier_counts", ARCHIVE_SQL + f""", c AS (SELECT {_TIER} AS tier FROM a WHERE score >= 55)
+@query("A11_tier_counts", ARCHIVE_SQL + f""", c AS (SELECT {_TIER} AS tier FROM a)
     SELECT t.tier, count(c.tier) AS n FROM (VALUES ('A'),('B'),('C'),('D'),('F')) t(tier) LEFT JOIN c
     ON c.tier = t.tier GROUP BY t.tier""")
 def a11(spark, sf_dir):
-    rows = archive(spark, sf_dir).filter("score >= 55").withColumn("tier", F.expr(_TIER))
-    return market.tier_counts(rows)
+    return market.tier_counts(archive(spark, sf_dir).withColumn("tier", F.expr(_TIER)))
 
 
 @query("A11_source_counts", _S + " SELECT source, count(*) AS n FROM s GROUP BY source")
@@ -264,9 +263,9 @@ def a11_sources(spark, sf_dir):
 
 
 @query("A11_effective_floor", ARCHIVE_SQL + """SELECT count(*) AS rows, 45 AS configured, min(score) AS effective,
-    count(*) >= 1500 AND min(score) > 45 AS capped FROM a WHERE score >= 60""")
+    count(*) >= 1500 AND min(score) > 45 AS capped FROM a""")
 def a11_floor(spark, sf_dir):
-    return market.effective_floor(archive(spark, sf_dir).filter("score >= 60"), 45, 1500)
+    return market.effective_floor(archive(spark, sf_dir), 45, 1500)
 
 
 # The annotated list: archive rows, application state by uid, stars by uid.
