@@ -9,9 +9,9 @@ give an entity away where it has been taken out: for a term that stands within
 
 counted over all texts. -log2 of it is what remains unknown of the entity to one who
 reads the term. A term with at most ``REMOVE_BITS`` left is removed wherever it stands
-beside that entity, one with at most ``GENERALISE_BITS`` is generalised to its kind. A term
-counts only with ``SUPPORT`` different surroundings of the entity, so that copies of one
-passage are no evidence.
+in a text that holds that entity, however far from it; one with at most
+``GENERALISE_BITS`` is generalised to its kind. A term counts only with ``SUPPORT``
+different surroundings of the entity, so that copies of one passage are no evidence.
 
 A term is a stretch without ASCII white space, lower-cased, without punctuation at its
 ends, of two characters or more. Spans are (start, end) in code points, end exclusive;
@@ -27,9 +27,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +49,8 @@ WINDOW, SUPPORT = 8, 2
 REMOVE_BITS, GENERALISE_BITS = 1.0, 2.0
 #: Distinct terms a worker counts before it passes the counts on.
 ROOM = 80_000
+#: Bits of the filter that says which terms may have been judged, and those of a bitmap in Spark.
+FILTER_BITS, BITMAP_BITS = 1 << 21, 1 << 15
 
 # The patterns of the base kinds.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -107,21 +113,43 @@ def _term(word: str) -> str:
 
 
 def _beside(text: str, spans: list[tuple[int, int, str]], window: int) -> Iterator[tuple]:
-    """entity, term, start, end, surroundings: the terms beside each finding."""
+    """entity, term, surroundings: the terms beside each finding, and each finding's
+    entity with no term."""
+    words = [m.span() for m in _TERM.finditer(text)] if spans else []
+    starts, ends = [s for s, _ in words], [e for _, e in words]
+    meets = _meets(spans)
     for start, end, kind in spans:
         entity = f"{kind}:{text[start:end]}"
-        left = [m for m in _TERM.finditer(text, max(0, start - 64 * window), start)][-window:]
-        right = []
-        for m in _TERM.finditer(text, end):
-            if len(right) == window:
-                break
-            right.append(m)
-        words = [m[0] for m in (*left, *right)]
-        about = int.from_bytes(hashlib.blake2b("\0".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        for m in (*left, *right):
-            term = _term(m[0])
-            if len(term) > 1 and not any(s < m.end() and m.start() < e for s, e, _ in spans):
-                yield entity, term, m.start(), m.end(), about
+        yield entity, None, None
+        i, j = bisect_left(starts, start), bisect_right(ends, end)
+        near = [(s, min(e, start)) for s, e in words[max(0, i - window):i]] + [(max(s, end), e) for s, e in words[j:j + window]]
+        own = [text[s:e] for s, e in near]
+        about = int.from_bytes(hashlib.blake2b("\0".join(own).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        for word, (s, e) in zip(own, near, strict=True):
+            term = _term(word)
+            if len(term) > 1 and not meets(s, e):
+                yield entity, term, about
+
+
+def _meets(spans: list[tuple[int, int, str]]) -> Callable[[int, int], bool]:
+    """Whether a stretch overlaps one of the sorted spans."""
+    starts, ends = [s for s, _, _ in spans], list(accumulate((e for _, e, _ in spans), max))
+
+    def meets(start: int, end: int) -> bool:
+        i = bisect_left(starts, end)
+        return i > 0 and ends[i - 1] > start
+
+    return meets
+
+
+def _outside(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[str, int, int]]:
+    """word, start, end: the stretches without white space between the sorted spans."""
+    at = 0
+    for start, end in [*((s, e) for s, e, _ in spans), (len(text), len(text))]:
+        if start > at:
+            for m in _TERM.finditer(text, at, start):
+                yield m[0], m.start(), m.end()
+        at = max(at, end)
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -130,17 +158,18 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def contexts(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """key (of the text), entity, term, start, end, about: the terms beside entities."""
+    """key (of the text), entity, term, about: the terms beside entities; and a row
+    without a term for each finding."""
 
     def beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for key, text in zip(batch["_key"], batch["_text"], strict=True):
                 rows += [(key, *r) for r in _beside(text, base_spans(text), window)]
-            yield pd.DataFrame(rows, columns=["key", "entity", "term", "start", "end", "about"], dtype=object)
+            yield pd.DataFrame(rows, columns=["key", "entity", "term", "about"], dtype=object)
 
     return mapped(
-        _keyed(docs, text_col).select("_key", "_text"), beside, "key binary, entity string, term string, start long, end long, about long")
+        _keyed(docs, text_col).select("_key", "_text"), beside, "key binary, entity string, term string, about long")
 
 
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -175,20 +204,62 @@ def _ascii_split(text: str) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
 
 
+def _filter(terms: DataFrame) -> np.ndarray:
+    """The terms' bits, of a fixed size: a term without its bit is none of them."""
+    bit = F.crc32(F.col("term").cast("binary")) % FILTER_BITS
+    rows = terms.select(bit.alias("bit")).groupBy((F.col("bit") / BITMAP_BITS).cast("int").alias("part")).agg(
+        F.bitmap_construct_agg(F.col("bit") % BITMAP_BITS).alias("bits"))
+    out = np.zeros(FILTER_BITS, bool)
+    # At most FILTER_BITS / BITMAP_BITS rows.
+    for r in rows.collect():
+        part = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        out[r["part"] * BITMAP_BITS:][:len(part)] = part
+    return out
+
+
+def uses(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
+    """key, term, start, end: all uses of the terms (and, now and then, of other ones) in
+    the texts that hold an entity, copies once."""
+    bits = np.packbits(_filter(terms))
+
+    def use(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judged = np.unpackbits(bits)
+        known: dict[str, str | None] = {}
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch["_key"], batch["_text"], strict=True):
+                spans = base_spans(text)
+                for word, start, end in _outside(text, spans) if spans else ():
+                    if word not in known:
+                        if len(known) > ROOM:
+                            known.clear()
+                        term = _term(word)
+                        known[word] = term if len(term) > 1 and judged[
+                            zlib.crc32(term.encode("utf-8", "surrogatepass")) % FILTER_BITS] else None
+                    if term := known[word]:
+                        rows.append((key, term, start, end))
+            yield pd.DataFrame(rows, columns=["key", "term", "start", "end"], dtype=object)
+
+    return mapped(
+        _keyed(docs, text_col).select("_key", "_text"), use, "key binary, term string, start long, end long").distinct()
+
+
 def disclosing(docs: DataFrame, text_col: str = "text", window: int = WINDOW, support: int = SUPPORT,
                remove: float = REMOVE_BITS, generalise: float = GENERALISE_BITS) -> DataFrame:
     """key, spans (start, end, kind): the terms to take out of each text."""
     beside = written(contexts(docs, text_col, window), "beside")
-    pairs = written(beside.groupBy("entity", "term").agg(
+    holds = beside.filter("term IS NULL").select("key", "entity").distinct()
+    pairs = written(beside.filter("term IS NOT NULL").groupBy("entity", "term").agg(
         F.count("*").alias("together"), F.count_distinct("about").alias("surroundings")).filter(
         F.col("surroundings") >= support), "pairs")
-    wanted = written(pairs.select("term").distinct(), "terms")
-    counts = term_counts(docs, text_col).join(small(wanted), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = term_counts(docs, text_col).groupBy("term").agg(F.sum("n").alias("n"))
     bits = -F.log2(F.col("together") / F.col("n"))
     judged = pairs.join(counts, "term").withColumn("bits", bits).filter(F.col("bits") <= generalise)
     kind = F.when(F.col("bits") <= remove, "term").otherwise("general")
-    marked = beside.join(judged.select("entity", "term", kind.alias("kind")), ["entity", "term"])
-    # A term beside two entities is removed if either asks for it.
+    judged = written(judged.select("entity", "term", kind.alias("kind")), "judged")
+    # A term has few entities here, so the uses meet them first, and then what the text holds.
+    marked = uses(docs, judged, text_col).join(small(judged), "term").join(holds, ["key", "entity"], "left_semi")
+    # A term that gives two entities away is removed if either asks for it.
     return marked.groupBy("key", "start", "end").agg(F.max("kind").alias("kind")).groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
 

@@ -199,6 +199,25 @@ def test_disclosure(spark):
     assert "kim@" not in clean[0] and "Zorbian" not in clean[0] and clean[10] == docs[4][1] and clean[40] is None
 
 
+def test_disclosure_far_from_the_entity(spark):
+    """A judged term goes from the whole text; the left side is read by words, however long."""
+    gap = " ".join(f"filler{j}" for j in range(40))
+    docs = [(i, f"w{i} x{i} Zorbian kim@mail.example.com y{i} z{i} {gap} so ZORBIAN, it was") for i in range(4)]
+    docs += [(10, "somebody else, Zorbian perhaps, at home"), (11, f"{gap} zorbian joe@mail.example.com")]
+    docs += [(20 + i, f"Quimble {'u' * 300}{i} {'v' * 300}{i} ann{i % 2}@mail.example.com") for i in range(4)]
+    docs += [(30, "a b ann0@mail.example.com c d")]
+    clean = {r.doc_id: r.text for r in pii.sanitised(table(spark, docs)).collect()}
+    for i in range(4):
+        assert "zorbian" not in clean[i].lower() and "filler7" in clean[i]
+        assert "Quimble" not in clean[20 + i]
+    # Texts without the entity keep the term.
+    assert clean[10] == docs[4][1] and "zorbian" in clean[11]
+    got = {r.doc_id: r for r in pii.found(table(spark, docs)).collect()}
+    text = docs[0][1]
+    far = text.index("ZORBIAN,")
+    assert f"general:{far}:{far + 8}" in got[0].spans.split(",")
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 16))
