@@ -55,16 +55,36 @@ def collapse(postings: DataFrame, arrival: str = "arrival") -> DataFrame:
     by a partial aggregate per (key, priority), which turns a key with a
     billion copies into seven rows before anything is compared.
     """
+    return settled(first_copies(postings, arrival), arrival)
+
+
+def first_copies(postings: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """dedupe_key, priority (``_p``), its first row, boards and copies: all that
+    the choice needs, and what parts of a table are merged by."""
     rows = postings
     if "dedupe_key" not in rows.columns:
         rows = rows.withColumn("dedupe_key", keys.dedupe_key())
     rows = rows.filter(F.col("dedupe_key") != "").withColumn("_p", source_priority())
     fields = [c for c in rows.columns if c not in ("dedupe_key", "_p", arrival)]
-    firsts = rows.groupBy("dedupe_key", "_p").agg(
+    return rows.groupBy("dedupe_key", "_p").agg(
         F.min(F.struct(arrival, *fields)).alias("row"),
         F.collect_set("source").alias("boards"),
         F.count("*").alias("copies"),
     )
+
+
+def merge_copies(state: DataFrame, run: DataFrame) -> DataFrame:
+    """H01 incrementally: first copies of two parts that share no row, in either order."""
+    return state.unionByName(run).groupBy("dedupe_key", "_p").agg(
+        F.min("row").alias("row"),
+        F.array_distinct(F.flatten(F.collect_list("boards"))).alias("boards"),
+        F.sum("copies").alias("copies"),
+    )
+
+
+def settled(firsts: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """The best source's copy of each key, from its first copies."""
+    fields = [c for c in firsts.schema["row"].dataType.names if c != arrival]
     # At most seven rows per key from here on.
     by_key = Window.partitionBy("dedupe_key")
     better = by_key.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,13 +12,23 @@ from ..streaming import state
 from .registry import query
 from .views import table
 
+#: Micro-batches of the queries whose rows must not depend on how the events come.
+FILES = 4
+
 _E = """WITH e AS (SELECT user_id || '|' || event_type AS uid, ts, CAST(date_trunc('day', ts) AS TIMESTAMP) AS run_ts, CAST(floor(value) AS INT) AS score FROM events)"""
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of sightings, a run per day."""
-    schema = table(spark, sf_dir, "events").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+def event_stream(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    """The events table as a stream of sightings, a run per day; dealt out over so many
+    files, each a micro-batch of all times, where ``files`` is given."""
+    events = table(spark, sf_dir, "events")
+    reader = spark.readStream.schema(events.schema)
+    if files:
+        path = scratch(spark, "events")
+        events.repartition(files).write.parquet(path)
+        e = reader.option("maxFilesPerTrigger", 1).parquet(path)
+    else:
+        e = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     ts = F.col("ts").cast("timestamp")
     return e.select(
         F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("uid"), F.date_trunc("day", ts).alias("run_ts"),
@@ -48,7 +58,7 @@ def x01(spark, sf_dir):
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        rows = finish(state.seen_stream(event_stream(spark, sf_dir)), spark, "x01", "update")
+        rows = finish(state.seen_stream(event_stream(spark, sf_dir, FILES)), spark, "x01", "update")
     finally:
         if old:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
@@ -89,13 +99,23 @@ def x02(spark, sf_dir):
     SELECT k AS dedupe_key, 'workday' AS source, count(*) - 1 AS collapsed FROM e GROUP BY k""")
 def x02_collapse(spark, sf_dir):
     out = scratch(spark, "x02c")
-    e = event_stream(spark, sf_dir).withColumns({
+    done: list[int] = []
+
+    def read(batch_id):
+        before = [i for i in done if i < batch_id]
+        return spark.read.parquet(f"{out}/v={max(before)}") if before else None
+
+    def write(df, batch_id):
+        df.write.mode("overwrite").parquet(f"{out}/v={batch_id}")
+        done.append(batch_id)
+
+    e = event_stream(spark, sf_dir, FILES).withColumns({
         "source": F.when(F.split("uid", r"\|")[0].cast("int") % 3 == 0, "workday").when(F.split("uid", r"\|")[0].cast("int") % 3 == 1, "adzuna").otherwise("hackernews"),
         "description": F.lit(""), "partial": F.lit(False)})
     q = (e.writeStream.option("checkpointLocation", scratch(spark, "x02c-ckpt")).trigger(availableNow=True)
-         .foreachBatch(state.collapse_batches(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"))).start())
+         .foreachBatch(state.collapse_batches(read, write)).start())
     q.awaitTermination()
-    return spark.read.parquet(out).select("dedupe_key", "source", "collapsed")
+    return history.settled(spark.read.parquet(f"{out}/v={max(done)}")).select("dedupe_key", "source", "collapsed")
 
 
 @query("X03_late_dates", _E + " SELECT uid, ts, CASE WHEN ts + INTERVAL 2 DAY > f THEN f ELSE ts + INTERVAL 2 DAY END AS posted_at FROM e JOIN (SELECT uid, min(run_ts) AS f FROM e GROUP BY uid) USING (uid)")

@@ -7,7 +7,7 @@ expiry counts from the first sighting.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +19,7 @@ from pyspark.sql.types import (
 
 from ..operators.applications import follow_ups_due
 from ..operators.history import (
-    GHOST_DAYS, GHOST_TIMES, SEEN_RETENTION_DAYS, fold_sightings, merge_seen, prune_seen,
+    GHOST_DAYS, GHOST_TIMES, SEEN_RETENTION_DAYS, first_copies, fold_sightings, merge_copies, merge_seen, prune_seen,
 )
 
 
@@ -37,6 +37,9 @@ _STATE = _fields(
 )
 
 
+_DAY = 86_400_000_000
+
+
 def _micros(ts: pd.Timestamp) -> int:
     return int(ts.value // 1000)
 
@@ -45,10 +48,16 @@ def _stamp(us: int) -> datetime:
     return datetime.fromtimestamp(us / 1e6, tz=timezone.utc).replace(tzinfo=None)
 
 
+def _expiry(us: int) -> int:
+    """When a posting first seen so is forgotten, in milliseconds."""
+    return (us + SEEN_RETENTION_DAYS * _DAY) // 1000
+
+
 class SeenProcessor(StatefulProcessor):
     """One posting's memory. A run's copies count once; a post date
     after the first sighting is clamped to it; the posting is forgotten 120 days
-    after it was FIRST seen, so a long-running one comes back as new."""
+    after it was FIRST seen, so a long-running one comes back as new. Runs that come
+    so late that they were forgotten before the known ones began give a row of their own."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -57,8 +66,27 @@ class SeenProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("run_ts", kind="stable")
         state = self.seen.get() if self.seen.exists() else None
+        if state is not None:
+            began = min(state[0])
+            old = batch["run_ts"].map(_micros) <= began - SEEN_RETENTION_DAYS * _DAY
+            if old.any():
+                yield self._row(key, batch[old], set(), 0, True)[0]
+                batch = batch[~old]
+            if batch.empty:
+                return
         known = state is not None
         runs, score = (set(state[0]), state[1]) if known else (set(), 0)
+        out, runs, score = self._row(key, batch, runs, score, not known)
+        first = min(runs)
+        if known and first < began:
+            self.handle.deleteTimer(_expiry(began))
+        if not known or first < began:
+            self.handle.registerTimer(_expiry(first))
+        self.seen.update((sorted(runs), score))
+        yield out
+
+    @staticmethod
+    def _row(key, batch: pd.DataFrame, runs: set[int], score: int, is_new: bool) -> tuple[pd.DataFrame, set[int], int]:
         # A run that comes late, or again, counts once; the score is the latest run's.
         for run, copies in batch.groupby("run_ts", sort=True):
             us, best = _micros(run), int(copies["score"].max())
@@ -68,19 +96,15 @@ class SeenProcessor(StatefulProcessor):
                 score = max(score, best)
             runs.add(us)
         first, last, times = min(runs), max(runs), len(runs)
-        if not known:
-            expiry = _stamp(first) + timedelta(days=SEEN_RETENTION_DAYS)
-            self.handle.registerTimer(int(expiry.replace(tzinfo=timezone.utc).timestamp() * 1000))
-        self.seen.update((sorted(runs), score))
         # A missing date stays missing.
         dates = batch["posted_at"].dropna()
         posted = min(dates.iloc[-1].to_pydatetime(), _stamp(first)) if len(dates) else None
-        span = (last - first) // 86_400_000_000
-        yield pd.DataFrame({
+        span = (last - first) // _DAY
+        return pd.DataFrame({
             "uid": [key[0]], "first_seen": [_stamp(first)], "last_seen": [_stamp(last)],
-            "times_seen": [times], "score": [score], "posted_at": [posted], "is_new": [not known],
+            "times_seen": [times], "score": [score], "posted_at": [posted], "is_new": [is_new],
             "ghost": [bool(span >= GHOST_DAYS and times >= GHOST_TIMES)],
-        })
+        }), runs, score
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.seen.clear()
@@ -92,10 +116,13 @@ class SeenProcessor(StatefulProcessor):
 
 def seen_stream(sightings: DataFrame, late: str = "1 day") -> DataFrame:
     """Sightings (uid, run_ts, posted_at, score) to one row per posting and
-    batch. Needs the RocksDB state store."""
+    batch. Needs the RocksDB state store. ``late`` only says when postings are
+    forgotten: the watermark is on a column that the processor doesn't get, so no
+    sighting is dropped for coming late."""
     return (
-        sightings.select("uid", "run_ts", "posted_at", "score")
-        .withWatermark("run_ts", late)
+        sightings.select("uid", "run_ts", "posted_at", "score", F.col("run_ts").alias("_run"))
+        .withWatermark("_run", late)
+        .select("uid", "run_ts", "posted_at", "score")
         .groupBy("uid")
         .transformWithStateInPandas(
             statefulProcessor=SeenProcessor(), outputStructType=SEEN_OUT, outputMode="Update",
@@ -124,12 +151,16 @@ def exact_copies_dropped(postings: DataFrame, at: str = "run_ts", late: str = "2
     return postings.withWatermark(at, late).dropDuplicatesWithinWatermark(["dedupe_key"])
 
 
-def collapse_batches(write: Callable[[DataFrame, int], None]):
-    """The source-priority choice, per micro-batch."""
-    from ..operators.history import collapse
+def collapse_batches(read: Callable[[int], DataFrame | None], write: Callable[[DataFrame, int], None]):
+    """A foreachBatch function that merges each batch's first copies into the
+    stored ones; ``history.settled`` makes the source-priority choice from them.
+    ``read`` gives the table as it stood before a batch (or None), so that a replay
+    counts no copy twice, and ``write`` stores the next version, named by batch."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        write(collapse(batch), batch_id)
+        fresh = first_copies(batch)
+        state = read(batch_id)
+        write(fresh if state is None else merge_copies(state, fresh), batch_id)
 
     return step
 

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from hirescope.operators import history
 from hirescope.streaming import state
 
 FIELDS = "uid string, run_ts timestamp, posted_at timestamp, score int, arrival long, title string, company string"
@@ -71,3 +72,60 @@ def test_copies_dropped_once(spark, tmp_path):
     df = state.exact_copies_dropped(source(spark, path).withColumn("dedupe_key", F.col("uid")), "run_ts", "10 days")
     rows = run(spark, df, tmp_path, "append")
     assert sorted(r["uid"] for r in rows) == ["a", "b"]
+
+
+def test_seen_stream_counts_late_runs(spark, tmp_path):
+    path = str(tmp_path / "in")
+    land(spark, path, 1, [row("a", 50), row("b", 200)])
+    land(spark, path, 2, [row("b", 201)])
+    land(spark, path, 3, [row("c", 100), row("b", 190), row("b", 3)])
+    land(spark, path, 4, [row("c", 101), row("b", 202)])
+    land(spark, path, 5, [row("b", 311)])
+    land(spark, path, 6, [row("d", 312)])
+    land(spark, path, 7, [row("b", 313)])
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = run(spark, state.seen_stream(source(spark, path), "0 seconds"), tmp_path)
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    at = lambda d: dt.datetime(2026, 1, 1) + dt.timedelta(days=d)
+    c = [r for r in rows if r["uid"] == "c"]
+    assert [(r["first_seen"], r["times_seen"]) for r in c] == [(at(100), 1), (at(100), 2)]
+    b = [(r["first_seen"], r["times_seen"], r["is_new"]) for r in rows if r["uid"] == "b"]
+    # Day 3 belongs to a time before the known one; the late day 190 is its beginning,
+    # and from there it is forgotten after 120 days.
+    assert b[:2] == [(at(200), 1, True), (at(200), 2, False)]
+    assert sorted(b[2:4]) == [(at(3), 1, True), (at(190), 3, False)]
+    assert b[4] == (at(190), 4, False) and b[-1] == (at(313), 1, True)
+
+
+def test_collapse_batches_merge(spark, tmp_path):
+    """A posting met in several batches keeps one row, the best source's, as in one batch."""
+    path = str(tmp_path / "in")
+    fields = FIELDS + ", source string, description string, partial boolean, dedupe_key string"
+    rows = [(*row(k, 1, arrival=i), s, d, False, k) for i, (k, s, d) in enumerate([
+        ("a", "adzuna", "long body of a"), ("b", "workday", ""), ("a", "workday", "short"), ("a", "hackernews", ""),
+        ("b", "adzuna", ""), ("c", "adzuna", "")])]
+    for n, part in enumerate((rows[3:5], rows[:1], rows[5:], rows[1:3])):
+        spark.createDataFrame(part, fields).coalesce(1).write.parquet(f"{path}/f{n}")
+    held: dict = {}
+
+    def read(batch_id):
+        before = [i for i in held if i < batch_id]
+        return held[max(before)] if before else None
+
+    def write(df, batch_id):
+        held[batch_id] = spark.createDataFrame(df.collect(), df.schema)
+
+    step = state.collapse_batches(read, write)
+
+    def twice(batch, batch_id):
+        step(batch, batch_id)
+        step(batch, batch_id)
+
+    q = (spark.readStream.schema(fields).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(path)
+         .writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(twice).start())
+    q.awaitTermination()
+    assert len(held) == 4
+    got = sorted(history.settled(held[max(held)]).collect(), key=lambda r: r["dedupe_key"])
+    want = sorted(history.collapse(spark.createDataFrame(rows, fields)).collect(), key=lambda r: r["dedupe_key"])
+    assert got == want and [(r["source"], r["collapsed"]) for r in got] == [("workday", 2), ("workday", 1), ("adzuna", 0)]
+    assert got[0]["description"] == "long body of a"
