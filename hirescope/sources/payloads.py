@@ -778,18 +778,27 @@ def watch_list(curated: DataFrame, learned: DataFrame, tiers: Iterable[int] = (1
     )
 
 
-def read_snapshots(spark: SparkSession, paths: Sequence[str], keep: int = 90) -> DataFrame:
-    """The last ``keep`` snapshot files, each a JSON list of rows. A file
-    that does not parse is skipped; rows without title or company are too."""
-    from ..schema import SNAPSHOT, ddl
+def _snapshot_files(spark: SparkSession, paths: Sequence[str], keep: int | None) -> DataFrame:
+    """file, rows (null where the file does not parse) of the last ``keep`` files, or all."""
+    from ..schema import SNAPSHOT
 
     stored = {k: ("string" if v == "timestamp" else v) for k, v in SNAPSHOT.items()}
-    newest = sorted(paths)[-keep:]
+    newest = sorted(paths) if keep is None else sorted(paths)[-keep:]
     schema = f"array<struct<{', '.join(f'{k}:{v}' for k, v in stored.items())}>>"
     files = spark.read.option("wholetext", True).option("ignoreCorruptFiles", True).text(newest)
-    rows = files.select(
-        F.col("_metadata.file_name").alias("file"), F.posexplode(F.from_json("value", schema)).alias("pos", "r")
-    ).select("file", "pos", "r.*")
+    return files.select(F.col("_metadata.file_name").alias("file"), F.from_json("value", schema).alias("rows"))
+
+
+def unreadable_snapshots(spark: SparkSession, paths: Sequence[str], keep: int | None = None) -> DataFrame:
+    """File: those that ``read_snapshots`` can't parse, as a table beside its rows."""
+    return _snapshot_files(spark, paths, keep).filter(F.col("rows").isNull()).select("file")
+
+
+def read_snapshots(spark: SparkSession, paths: Sequence[str], keep: int | None = None) -> DataFrame:
+    """The snapshot files (the last ``keep``, if given), each a JSON list of rows.
+    Files that do not parse are told by ``unreadable_snapshots``; rows without title or
+    company are skipped."""
+    rows = _snapshot_files(spark, paths, keep).select("file", F.posexplode("rows").alias("pos", "r")).select("file", "pos", "r.*")
     return rows.withColumns(
         {c: dates.parse_date(c) for c in ("posted_at", "first_seen")}
     ).filter((F.coalesce("title", F.lit("")) != "") & (F.coalesce("company", F.lit("")) != ""))

@@ -53,13 +53,13 @@ def bad_rows(raw: DataFrame) -> DataFrame:
 
 
 def write_raw(raw: DataFrame, path: str, quarantine: str | None = None) -> None:
-    """Append, partitioned by run day; refused rows go to quarantine. One
-    pass splits by predicate, so a bad row costs only itself."""
+    """Append, partitioned by run day; refused rows go to ``quarantine``, by
+    default the folder ``path`` with ``-refused``. Rows are split by predicate, so a
+    bad row costs only itself, and none is dropped."""
     day = F.to_date("collected_at")
     good = (F.coalesce("uid", F.lit("")) != "") & (F.coalesce("dedupe_key", F.lit("")) != "")
     raw.filter(good).withColumn("run_date", day).write.mode("append").partitionBy("run_date").parquet(path)
-    if quarantine:
-        bad_rows(raw).write.mode("append").parquet(quarantine)
+    bad_rows(raw).write.mode("append").parquet(quarantine or f"{path.rstrip('/')}-refused")
 
 
 def write_raw_jdbc(raw: DataFrame, url: str, table: str, properties: dict[str, str]) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hirescope.operators import companies, skills, vocab
 from hirescope.operators.vocab import Term
-from hirescope.sources import payloads
+from hirescope.sources import payloads, sinks
 
 
 def greedy(text, phrases, longest):
@@ -108,6 +108,25 @@ def test_snapshot_files(spark, tmp_path):
     assert payloads.read_snapshots(spark, [str(p) for p in tmp_path.glob("jobs_*.json")], keep=2).count() == 1
 
 
+def test_all_snapshot_files_are_read_or_told(spark, tmp_path):
+    paths = [str(tmp_path / f"jobs_{i:03d}.json") for i in range(95)]
+    for i, path in enumerate(paths):
+        with open(path, "w") as f:
+            f.write("{broken" if i in (1, 93) else json.dumps([{"title": f"T{i}", "company": "X"}]))
+    got = {r["title"] for r in payloads.read_snapshots(spark, paths).collect()}
+    assert got == {f"T{i}" for i in range(95)} - {"T1", "T93"}
+    assert {r["file"] for r in payloads.unreadable_snapshots(spark, paths).collect()} == {"jobs_001.json", "jobs_093.json"}
+
+
+def test_refused_rows_are_kept(spark, tmp_path):
+    fields = "uid string, dedupe_key string, source string, collected_at timestamp"
+    raw = spark.createDataFrame([("u", "k", "a", None), ("", "k", "b", None), (None, None, "c", None), ("u", "", "d", None)], fields)
+    for path, quarantine in ((str(tmp_path / "raw"), None), (str(tmp_path / "other"), str(tmp_path / "bad"))):
+        sinks.write_raw(raw, path, quarantine)
+        assert [r["source"] for r in spark.read.parquet(path).collect()] == ["a"]
+        assert sorted(r["source"] for r in spark.read.parquet(quarantine or path + "-refused").collect()) == ["b", "c", "d"]
+
+
 def test_slug_parts(spark):
     rows = [("data-analyst-columbus-ohio-united-states", "Data Analyst", "Columbus, Ohio, United States"),
             ("fair-housing-investigator-richmond-virginia-united-states-0a1b2c3d-0000-1111-2222-0123456789ab", "Fair Housing Investigator", "Richmond, Virginia, United States"),
