@@ -30,7 +30,6 @@ GHOST_DAYS, GHOST_TIMES = 45, 20
 SEEN_RETENTION_DAYS = 120
 RETENTION_DAYS = 30
 MAX_ENTRIES = 1500
-MAX_BODY = 12_000
 DETAIL_MIN_SCORE, MAX_DETAILS, MAX_PER_HOST, MAX_PARTIALS, SWEEP_BUDGET = 30, 250, 60, 120, 20
 LEARN_MIN_SCORE, LEARN_MAX_NEW, LEARN_RETRY_DAYS = 75, 5, 30
 SEED_MAX, SEED_MIN_SIGHTINGS = 300, 2
@@ -327,6 +326,10 @@ def prune_seen(seen: DataFrame, as_of, days: int = SEEN_RETENTION_DAYS) -> DataF
 # -- the candidate working set ----------------------------------------------------
 
 
+def _cut(text: Column, size: int | None) -> Column:
+    return text if size is None else F.substring(text, 1, size)
+
+
 def upsert_candidates(
     run: DataFrame,
     prior: DataFrame,
@@ -334,6 +337,7 @@ def upsert_candidates(
     floor: int = MIN_SCORE_TO_REPORT,
     cap: int = MAX_ENTRIES,
     days: int = RETENTION_DAYS,
+    max_body: int | None = None,
 ) -> DataFrame:
     """This run's rows replace the stored ones, but never trade a body for
     an empty one and never move first_seen; old and low rows leave; the working
@@ -345,10 +349,10 @@ def upsert_candidates(
     merged = r.join(p, F.col("r.uid") == F.col("p.uid"), "full_outer").select(
         F.coalesce("r.uid", "p.uid").alias("uid"),
         *[F.when(here, F.col(f"r.{c}")).otherwise(F.col(f"p.{c}")).alias(c) for c in cols],
-        F.substring(
+        _cut(
             F.coalesce(
                 F.nullif("r.description", F.lit("")), F.col("p.description"), F.lit("")
-            ), 1, MAX_BODY,
+            ), max_body,
         ).alias("description"),
         F.coalesce("p.first_seen", "r.first_seen", stamp(as_of)).alias("first_seen"),
         F.when(here, stamp(as_of)).otherwise(F.col("p.last_seen")).alias("last_seen"),
@@ -363,10 +367,10 @@ def upsert_candidates(
 def remember_bodies(
     store: DataFrame, filled: DataFrame, as_of, days: int = RETENTION_DAYS
 ) -> DataFrame:
-    """Latest full body per url, for as long as a candidate row lives."""
+    """Latest full body per url, whole, for as long as a candidate row lives."""
     fresh = filled.filter(
         (F.col("url") != "") & (F.coalesce("description", F.lit("")) != "") & ~F.col("partial")
-    ).select("url", F.substring("description", 1, MAX_BODY).alias("body"), stamp(as_of).alias("at"))
+    ).select("url", F.col("description").alias("body"), stamp(as_of).alias("at"))
     return (
         store.select("url", "body", "at")
         .unionByName(fresh)

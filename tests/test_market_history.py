@@ -148,3 +148,15 @@ def test_merge_seen_in_any_order(spark):
             state = fold if state is None else history.merge_seen(state, fold)
         names = ["uid", "first_seen", "last_seen", "times_seen", "score", "title"]
         assert sorted(state.select(names).collect()) == sorted(whole.select(names).collect())
+
+
+def test_long_bodies_stay_whole(spark):
+    body = "x" * 13_000 + " remote"
+    at = "2026-01-02 00:00:00"
+    filled = spark.createDataFrame([("u", body, False)], "url string, description string, partial boolean")
+    store = spark.createDataFrame([], "url string, body string, at timestamp")
+    assert history.remember_bodies(store, filled, at).first()["body"] == body
+    fields = "uid string, title string, score int, description string, first_seen timestamp, last_seen timestamp"
+    run = spark.createDataFrame([("a", "t", 90, body, None, None)], fields)
+    assert history.upsert_candidates(run, run.limit(0), at).first()["description"] == body
+    assert history.upsert_candidates(run, run.limit(0), at, max_body=100).first()["description"] == "x" * 100
