@@ -68,7 +68,8 @@ class Ids:
     """Little-endian 32-bit token ids of texts under a byte-level vocabulary.
 
     A space that stands between words always begins a token of this vocabulary,
-    so a text is encoded word by word and each word only once.
+    so a text is encoded word by word and each word only once. The strings of special
+    tokens are cut out first, the longest first where several begin at one place.
     """
 
     def __init__(self, path: str):
@@ -76,9 +77,11 @@ class Ids:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        special = {t["content"] for t in spec.get("added_tokens", ())}
-        ranks = {_bytes_of(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.coder = tiktoken.Encoding("packing", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        self.ranks = {_bytes_of(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        self.coder = tiktoken.Encoding("packing", pat_str=CUT, mergeable_ranks=self.ranks, special_tokens={})
+        longest = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
         encode = self.encode
 
         class Spaced(dict):
@@ -95,7 +98,21 @@ class Ids:
     def encode(self, text: str) -> bytes:
         return _pack("I", self.coder.encode_ordinary(text)).tobytes()
 
+    def tokens(self) -> list[bytes]:
+        """Every token's bytes, by id; the special ones have none."""
+        known = {i: t for t, i in self.ranks.items()}
+        return [known.get(i, b"") for i in range(1 + max([*known, *self.special.values()]))]
+
     def __call__(self, text: str) -> bytes:
+        """The ids of a text in which the special tokens' strings are those tokens."""
+        if self.cut is None or not any(s in text for s in self.special):
+            return self.plain(text)
+        return b"".join(
+            _pack("I", [self.special[part]]).tobytes() if part in self.special else self.plain(part)
+            for part in self.cut.split(text) if part)
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text in which the special tokens' strings are ordinary text."""
         if _RUN.search(text):
             return self.encode(text)
         first, *rest = text.split(" ")

@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirescope.llm import ann, chat, licenses, lm_score, media, near_dup, packing, pieces, pii, toxicity
+from hirescope.llm import (
+    alignment, ann, byte_pairs, chat, licenses, lm_score, media, near_dup, packing, pieces, pii, repair, toxicity)
 from hirescope.llm.words import set_up
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -122,9 +124,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(_table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded and decoded, and the hashes of both."""
+    vocabulary = BYTE_RANKS, public_tokenizers.PATTERN
+    rows = byte_pairs.decoded(byte_pairs.encoded(_table(spark, sf_dir, "documents"), *vocabulary), *vocabulary)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return rows.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECE_VOCABULARY)
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_toxicity, op2_lm_score, op3_licenses, op4_chat, op5_pieces, op6_media, op7_near_dup, op8_ann, op9_packing, op10_pii)}
+        op1_toxicity, op2_lm_score, op3_licenses, op4_chat, op5_pieces, op6_media, op7_near_dup, op8_ann, op9_packing, op10_pii,
+        op11_repair, op12_byte_pairs, op13_alignment)}
 
 
 def checks() -> dict[str, str]:
