@@ -23,6 +23,7 @@ table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,42 +40,67 @@ from hirescope.session import written
 
 #: Characters of the documents whose windows share a chunk's table.
 CHUNK = 4_000_000
-#: Windows whose alignment a worker remembers before it starts afresh.
-ROOM = 150_000
+#: Words whose ids, and windows whose alignment, a worker remembers before it starts afresh.
+ROOM = 300_000
 
 _MEASURES = ("n_a", "n_b", "n_groups", "n_links")
-
-
-class Aligned:
-    """The alignment of one window: its groups as text, their number, and its links."""
-
-    __slots__ = ("text", "n_groups", "links")
-
-    def __init__(self, a: tuple[int, ...], b: tuple[int, ...], size_a: list[int], size_b: list[int]):
-        groups, links = [], []
-        i = j = first_a = first_b = 0
-        end_a, end_b = size_a[a[0]], size_b[b[0]]
-        while True:
-            links.append(a[i] << 32 | b[j])
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_a:i + 1]))}|{','.join(map(str, b[first_b:j + 1]))}")
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                first_a, first_b = i, j
-                end_a += size_a[a[i]]
-                end_b += size_b[b[j]]
-            elif end_a < end_b:
-                i += 1
-                end_a += size_a[a[i]]
-            else:
-                j += 1
-                end_b += size_b[b[j]]
-        self.text, self.n_groups, self.links = ";".join(groups), len(groups), links
+#: Marks B's ids in a window's tuple.
+_B = np.uint32(1 << 31)
+_UNUSUAL = re.compile(r"\s (?:\s|\Z)|\A\s|  | \Z")
+_PLAIN = re.compile(r" \S+").fullmatch
+
+
+class Windows:
+    """Windows aligned so far: a number by id tuple, and by number the groups as text,
+    how many groups and links there are, and the links."""
+
+    def __init__(self, sizes: tuple[np.ndarray, np.ndarray]):
+        self.sizes, self.numbers = sizes, {}
+        self.texts: list[bytes] = []
+        self.n_groups, self.n_links, self.links = [], [], []
+        words = [np.array([f"{i}{end}" for i in range(max(map(len, sizes)))], object) for end in ",|;"]
+        self.words = np.concatenate(words)
+
+    def learn(self, keys: list[bytes]) -> None:
+        """Align windows: the bytes of each stretch between two ends, of either side, lie
+        in one token of A and one of B, which is a link; where both end, a group does."""
+        self.numbers.update(zip(keys, range(len(self.texts), len(self.texts) + len(keys)), strict=True))
+        ids = np.frombuffer(b"".join(keys), "<u4")
+        window = np.arange(len(keys)).repeat([len(k) // 4 for k in keys])
+        of_b = ids >= _B
+        a, b = ids[~of_b].astype(np.int64), (ids[of_b] - _B).astype(np.int64)
+        ends_a, ends_b = self.sizes[0][a].cumsum(), self.sizes[1][b].cumsum()
+        ends = np.union1d(ends_a, ends_b)
+        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        own_a, own_b = window[~of_b], window[of_b]
+        n_links = np.bincount(own_a[at_a], minlength=len(keys))
+        n_groups = np.bincount(own_a[np.searchsorted(ends_a, shared)], minlength=len(keys))
+        self.n_links.append(n_links)
+        self.n_groups.append(n_groups)
+        self.links.append(a[at_a] << 32 | b[at_b])
+        # The text, token by token: by group, A's before B's, each with the sign after it.
+        group = np.concatenate([np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)])
+        side = np.arange(len(group)) >= len(a)
+        order = np.lexsort((side, group))
+        group, side = group[order], side[order]
+        last = np.append((group[1:] != group[:-1]) | (side[1:] != side[:-1]), True)
+        word = np.concatenate([a, b])[order] + len(self.words) // 3 * np.where(last, 1 + side, 0)
+        words = self.words[word].tolist()
+        stops = np.bincount(window, minlength=len(keys)).cumsum().tolist()
+        self.texts += ["".join(words[i:j])[:-1].encode() for i, j in zip([0, *stops], stops, strict=False)]
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of groups, of links, and all links."""
+        out = []
+        for parts in (self.n_groups, self.n_links, self.links):
+            parts[:] = [np.concatenate(parts)] if parts else [np.zeros(0, np.int64)]
+            out.append(parts[0])
+        return tuple(out)
 
 
 class Pair:
-    """Both vocabularies, their tokens as bytes, and the windows aligned so far."""
+    """Both vocabularies, their tokens as bytes, and what a worker remembers of words and windows."""
 
     def __init__(self, a: str, b: str):
         import sentencepiece
@@ -83,46 +109,81 @@ class Pair:
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=b)
         self.bytes_a = self.encode_a.tokens()
         self.bytes_b = [self._piece(i) for i in range(self.pieces.get_piece_size())]
-        self.size_a, self.size_b = ([len(t) for t in tokens] for tokens in (self.bytes_a, self.bytes_b))
-        self.sizes = np.array(self.size_a), np.array(self.size_b)
+        # No piece goes on past a space before a word, so words may be encoded one by one.
+        self.apart = not any(b" " in t.lstrip(b" ") for t in self.bytes_b)
+        self.sizes = tuple(np.array([len(t) for t in tokens]) for tokens in (self.bytes_a, self.bytes_b))
         self.spaced = tuple(np.array([t[:1] == b" " for t in tokens]) for tokens in (self.bytes_a, self.bytes_b))
-        self.known: dict[tuple, Aligned] = {}
+        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.changed: set[str] = set()
+        self.windows = Windows(self.sizes)
 
     def _piece(self, i: int) -> bytes:
         piece = self.pieces.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def aligned(self, key: tuple) -> Aligned:
-        found = self.known.get(key)
-        if found is None:
-            if len(self.known) >= ROOM:
-                self.known.clear()
-            found = self.known[key] = Aligned(*key, self.size_a, self.size_b)
-        return found
-
-    def windows(self, text: str | None) -> tuple[int, int, list[tuple]]:
-        """How many tokens each vocabulary has for a text, and its windows as id tuples."""
-        if not text:
-            return 0, 0, []
-        whole = " " + text
-        a = np.frombuffer(self.encode_a.plain(whole), "<u4")
-        list_a, list_b = a.tolist(), self.pieces.encode(text, num_threads=1)
-        b = np.array(list_b, np.int64)
-        raw = whole.encode()
-        if (b"".join(map(self.bytes_a.__getitem__, list_a)) != raw
-                or b"".join(map(self.bytes_b.__getitem__, list_b)) != raw):
-            return 0, 0, []
+    def _plain_ids(self, words: list[str]) -> list[bytes]:
+        """A's ids of words that begin with their only space: of all at once, cut by length."""
+        if not words:
+            return []
+        data = self.encode_a.encode("".join(words))
+        ids = np.frombuffer(data, "<u4")
+        stops = np.searchsorted(self.sizes[0][ids].cumsum(), np.cumsum([len(w.encode()) for w in words])) + 1
+        return [data[4 * i:4 * j] for i, j in zip([0, *stops.tolist()], stops.tolist(), strict=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words that begin with a space."""
+        plain = [w for w in words if _PLAIN(w)]
+        ids = dict(zip(plain, self._plain_ids(plain), strict=True))
+        for word, b in zip(words, self.pieces.encode([w[1:] for w in words], num_threads=1), strict=True):
+            a = ids[word] if word in ids else self.encode_a.encode(word)
+            self.words[word] = a, np.array(b, "<u4").tobytes()
+            if b"".join(map(self.bytes_b.__getitem__, b)) != word.encode():
+                self.changed.add(word)
+
+    def tokens(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes] | None]:
+        """Both vocabularies' ids of each text, or None where there are none or they don't give it back.
+
+        In a usual text a space always begins a token of both, so it is tokenised word by
+        word, and each word only once; others are tokenised as a whole.
+        """
+        cut = [[" " + w for w in t.split(" ")] if t and self.apart and not _UNUSUAL.search(t) else None for t in texts]
+        if len(self.words) > ROOM:
+            self.words.clear()
+            self.changed.clear()
+        self._learn(list({w for words in cut if words for w in words if w not in self.words}))
+        for text, words in zip(texts, cut, strict=True):
+            if not text:
+                yield None
+                continue
+            if words:
+                known = [self.words[w] for w in words]
+                a, b = b"".join([k[0] for k in known]), b"".join([k[1] for k in known])
+                if self.changed.isdisjoint(words):
+                    yield a, b
+                    continue
+            else:
+                a, b = self.encode_a.plain(" " + text), np.array(self.pieces.encode(text, num_threads=1), "<u4").tobytes()
+            raw = (" " + text).encode()
+            same = all(b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]) == raw
+                       for ids, table in ((a, self.bytes_a), (b, self.bytes_b)))
+            yield (a, b) if same else None
+
+    def cut(self, ids_a: bytes, ids_b: bytes) -> list[bytes]:
+        """The windows of a text: A's ids and B's between two shared ends before space-marked tokens."""
+        both = np.frombuffer(ids_a, "<u4"), np.frombuffer(ids_b, "<u4")
         starts = []
-        for ids, sizes in zip((a, b), self.sizes, strict=True):
+        for ids, sizes in zip(both, self.sizes, strict=True):
             size = sizes[ids]
             starts.append(size.cumsum() - size)
-        marked = [at[spaced[ids]] for at, spaced, ids in zip(starts, self.spaced, (a, b), strict=True)]
+        marked = [at[spaced[ids]] for at, spaced, ids in zip(starts, self.spaced, both, strict=True)]
         shared = np.intersect1d(*marked, assume_unique=True)
         shared = shared[shared > 0]
-        cut_a, cut_b = ([0, *np.searchsorted(at, shared).tolist(), len(at)] for at in starts)
-        return len(a), len(b), [
-            (tuple(list_a[i:j]), tuple(list_b[k:m]))
-            for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:], strict=False)]
+        # Window by window, A's ids before B's, in one row of bytes.
+        place = [np.searchsorted(shared, at, "right") for at in starts]
+        order = np.argsort(np.concatenate([place[0] * 2, place[1] * 2 + 1]), kind="stable")
+        row = np.concatenate([both[0], both[1] | _B])[order].astype("<u4").tobytes()
+        stops = (np.bincount(np.concatenate(place), minlength=len(shared) + 1).cumsum() * 4).tolist()
+        return [row[i:j] for i, j in zip([0, *stops], stops, strict=False)]
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -137,40 +198,41 @@ def pair(a: str, b: str) -> Pair:
 class _Chunk:
     """The windows of some documents, numbered."""
 
-    def __init__(self, name: int):
-        self.name, self.chars, self.rows = name, 0, []
-        self.numbers: dict[tuple, int] = {}
-        self.found: list[Aligned] = []
-
-    def add(self, key, text: str | None, both: Pair) -> None:
-        n_a, n_b, windows = both.windows(text)
-        numbers = self.numbers
-        at = [numbers.get(w, -1) for w in windows]
-        for i, n in enumerate(at):
-            if n < 0:
-                n = numbers.get(windows[i])
-                if n is None:
-                    n = numbers[windows[i]] = len(numbers)
-                    self.found.append(both.aligned(windows[i]))
-                at[i] = n
-        here = [self.found[n] for n in at]
-        digest = hashlib.sha256(";".join([w.text for w in here]).encode()).hexdigest() if here else ""
-        self.rows.append({
-            "chunk": self.name, "doc_id": key, "n_a": n_a, "n_b": n_b, "n_groups": sum([w.n_groups for w in here]),
-            "n_links": sum([len(w.links) for w in here]), "groups_sha256": digest,
-            "windows": np.array(at, "<i4").tobytes()})
-        self.chars += len(text or "") + 1
+    def __init__(self, name: int, both: Pair):
+        self.name, self.both, self.chars, self.rows, self.at = name, both, 0, [], []
+        if len(both.windows.texts) > ROOM:
+            both.windows = Windows(both.sizes)
+
+    def add(self, keys: list, texts: list[str | None]) -> None:
+        known = self.both.windows
+        found = list(self.both.tokens(texts))
+        cut = [self.both.cut(*ids) if ids else [] for ids in found]
+        new = list(dict.fromkeys([w for windows in cut for w in windows if w not in known.numbers]))
+        if new:
+            known.learn(new)
+        for key, text, ids, windows in zip(keys, texts, found, cut, strict=True):
+            at = [known.numbers[w] for w in windows]
+            digest = hashlib.sha256(b";".join([known.texts[n] for n in at])).hexdigest() if at else ""
+            n_a, n_b = (len(x) // 4 for x in ids) if ids else (0, 0)
+            self.rows.append({"chunk": self.name, "doc_id": key, "n_a": n_a, "n_b": n_b, "groups_sha256": digest})
+            self.at.append(np.array(at, np.int32))
+            self.chars += len(text or "") + 1
 
     def closed(self) -> list[dict]:
         """A row for each document, and one for the chunk's pairs: which each window has, and how often in all."""
-        sizes = np.array([len(w.links) for w in self.found], np.int64)
-        links = np.array([x for w in self.found for x in w.links], np.int64)
-        times = np.zeros(len(self.found), np.int64)
-        for row in self.rows:
-            times += np.bincount(np.frombuffer(row["windows"], "<i4"), minlength=len(times))
-        codes, which = np.unique(links, return_inverse=True)
-        counts = np.zeros(len(codes), np.int64)
-        np.add.at(counts, which, times.repeat(sizes))
+        n_groups, n_links, links = self.both.windows.table()
+        for row, at in zip(self.rows, self.at, strict=True):
+            row |= {"n_groups": int(n_groups[at].sum()), "n_links": int(n_links[at].sum())}
+        used, number, times = np.unique(np.concatenate(self.at), return_inverse=True, return_counts=True)
+        stops = np.cumsum([len(at) for at in self.at]).tolist()
+        number = number.astype("<i4")
+        for row, i, j in zip(self.rows, [0, *stops], stops, strict=False):
+            row["windows"] = number[i:j].tobytes()
+        sizes = n_links[used]
+        first = n_links.cumsum()[used] - sizes
+        inside = np.arange(sizes.sum()) - (sizes.cumsum() - sizes).repeat(sizes)
+        codes, which = np.unique(links[first.repeat(sizes) + inside], return_inverse=True)
+        counts = np.bincount(which, times.repeat(sizes), len(codes)).astype(np.int64)
         return [*self.rows, {
             "chunk": self.name, "codes": codes, "counts": counts,
             "sizes": sizes.astype("<i4").tobytes(), "links": which.astype("<i4").tobytes()}]
@@ -187,14 +249,19 @@ def chunked(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: s
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, name = pair(a, b), TaskContext.get().partitionId() << 32
-        chunk = _Chunk(name)
+        both = pair(a, b)
+        chunk = _Chunk(TaskContext.get().partitionId() << 32, both)
         for batch in slices(batches):
-            for key, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                if chunk.rows and chunk.chars + len(text or "") > chars:
+            keys, texts = batch[0].to_pylist(), batch[1].to_pylist()
+            start = room = 0
+            for i, text in enumerate([*texts, None]):
+                room += len(text or "") + 1
+                if i == len(texts) or i > start and chunk.chars + room > chars:
+                    chunk.add(keys[start:i], texts[start:i])
+                    start, room = i, len(text or "") + 1
+                if chunk.rows and chunk.chars + room > chars:
                     yield pa.RecordBatch.from_pylist(chunk.closed(), schema=arrow)
-                    chunk = _Chunk(chunk.name + 1)
-                chunk.add(key, text, both)
+                    chunk = _Chunk(chunk.name + 1, both)
         if chunk.rows:
             yield pa.RecordBatch.from_pylist(chunk.closed(), schema=arrow)
 
