@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import applications, history
 from ..session import scratch
-from ..streaming import state
+from ..streaming import landing, state
 from .registry import query
-from .views import table
+from .views import SIGHTINGS_SQL, sightings, table
 
 #: Micro-batches of the queries whose rows must not depend on how the events come.
 FILES = 4
@@ -139,3 +139,42 @@ def x04(spark, sf_dir):
 def x05(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return state.changed_since(e, "ts", "2024-01-15 00:00:00").select(F.col("newest").cast("timestamp_ntz").alias("newest"), "changed")
+
+
+def _landing_lines(s: DataFrame) -> DataFrame:
+    """A landed document for each sighting: mostly whole ones of three sources, some cut
+    short, some of a source that nobody knows, some without the list of postings."""
+    ext, iso = F.col("arrival").cast("string"), F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    jobs = F.array(F.struct("title", F.col("url").alias("absolute_url"), F.struct(F.col("place").alias("name")).alias("location"),
+                            iso.alias("updated_at"), ext.alias("id")))
+    listed = F.array(F.struct(F.col("title").alias("text"), F.col("url").alias("hostedUrl"), F.unix_millis(F.col("posted_at").cast("timestamp")).alias("createdAt"), ext.alias("id")))
+    offers = F.array(F.struct("title", F.col("url").alias("careers_apply_url"), F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), ext.alias("id")))
+    head = (ext.alias("doc_id"), "company", F.lit("acme").alias("slug"))
+    kinds = [("greenhouse", F.struct(jobs.alias("jobs"))), ("lever", listed), ("recruitee", F.struct(offers.alias("offers")))]
+    lines = [F.to_json(F.struct(*head, F.lit(name).alias("source"), body.alias("payload"))) for name, body in kinds]
+    stray = F.to_json(F.struct(*head, F.lit("carrier-pigeon").alias("source"), jobs.alias("payload")))
+    bare = F.to_json(F.struct(*head, F.lit("greenhouse").alias("source"), F.struct(F.lit(0).alias("total")).alias("payload")))
+    line = F.when(F.col("line") % 3 == 0, lines[0]).when(F.col("line") % 3 == 1, lines[1]).otherwise(lines[2])
+    fault = F.col("ord") % 50
+    return s.select(F.when(fault == 7, F.substring(line, F.lit(1), F.length(line) - 9)).when(fault == 8, stray).when(fault == 9, bare).otherwise(line).alias("value"))
+
+
+@query("S20_landing_stream", f"""WITH s AS ({SIGHTINGS_SQL}), d AS (SELECT *, CASE ord % 50 WHEN 7 THEN 'not JSON' WHEN 8 THEN 'unknown source' WHEN 9 THEN 'no list of postings' END AS reason FROM s)
+    SELECT CASE ord % 50 WHEN 7 THEN NULL ELSE CAST(arrival AS VARCHAR) END AS id, CASE ord % 50 WHEN 7 THEN NULL WHEN 8 THEN 'carrier-pigeon' WHEN 9 THEN 'greenhouse' ELSE CASE line % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'recruitee' END END AS source,
+    CASE WHEN reason IS NULL THEN title END AS title, CASE WHEN reason IS NULL THEN company END AS company, CASE WHEN reason IS NULL THEN posted_at END AS posted_at, reason FROM d""")
+def s20_landing(spark, sf_dir):
+    """Every sighting as a landed document in four files, a micro-batch each; the last
+    batch is then handed over again, as after a lost driver. Both tables, as one."""
+    folder, out = scratch(spark, "landing"), scratch(spark, "landed")
+    _landing_lines(sightings(spark, sf_dir)).repartition(FILES).write.text(folder)
+    paths = f"{out}/postings", f"{out}/unreadable"
+    landing.land_all(spark, folder, *paths, f"{out}/checkpoint", files_per_batch=1)
+    again = spark.read.parquet(paths[1]).filter(F.col("batch") == FILES - 1).select("file").first()
+    if again is not None:
+        landing.land(*paths)(landing.landed(spark, again.file, stream=False), FILES - 1)
+    postings, unreadable = (spark.read.parquet(p) for p in paths)
+    none, when = F.lit(None).cast("string"), F.col("posted_at").cast("timestamp_ntz").alias("posted_at")
+    good = postings.select(F.col("external_id").alias("id"), "source", "title", "company", when, none.alias("reason"))
+    bad = unreadable.select(F.col("doc_id").alias("id"), "source", none.alias("title"), none.alias("company"),
+                            F.lit(None).cast("timestamp_ntz").alias("posted_at"), "reason")
+    return good.unionByName(bad)
