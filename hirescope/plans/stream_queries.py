@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import applications, history
 from ..session import scratch
-from ..streaming import landing, state
+from ..streaming import landing, monthly, state
 from .registry import query
-from .views import SIGHTINGS_SQL, sightings, table
+from .views import AS_OF, SIGHTINGS_SQL, sightings, table
 
 #: Micro-batches of the queries whose rows must not depend on how the events come.
 FILES = 4
@@ -178,3 +178,41 @@ def s20_landing(spark, sf_dir):
     bad = unreadable.select(F.col("doc_id").alias("id"), "source", none.alias("title"), none.alias("company"),
                             F.lit(None).cast("timestamp_ntz").alias("posted_at"), "reason")
     return good.unionByName(bad)
+
+
+def _seen_months(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The monthly table of all sightings, by company and title, from four shuffled files,
+    and the sightings' schema of it."""
+    folder, path = scratch(spark, "sightings"), scratch(spark, "seen-months")
+    s = sightings(spark, sf_dir).select(
+        F.concat_ws("|", "company", "title").alias("uid"), F.col("run_ts").cast("timestamp").alias("run_ts"), "score", "arrival", "title", "company")
+    s.repartition(FILES).write.parquet(folder)
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    q = (stream.writeStream.option("checkpointLocation", scratch(spark, "seen-months-ckpt")).trigger(availableNow=True)
+         .foreachBatch(monthly.merge_batches(path, buckets=2, days=None)).start())
+    q.awaitTermination()
+    return path, spark.read.parquet(path)
+
+
+_MONTHLY = f"""WITH s AS ({SIGHTINGS_SQL}), f AS (SELECT company || '|' || title AS uid, CAST(min(run_ts) AS TIMESTAMP) AS first_seen, CAST(max(run_ts) AS TIMESTAMP) AS last_seen,
+    count(DISTINCT run_ts) AS times_seen FROM s GROUP BY 1) SELECT uid, first_seen, last_seen, times_seen, strftime(first_seen, '%Y-%m') AS month FROM f"""
+
+
+def _seen_columns(seen: DataFrame) -> DataFrame:
+    n = "timestamp_ntz"
+    return seen.select("uid", F.col("first_seen").cast(n).alias("first_seen"), F.col("last_seen").cast(n).alias("last_seen"), "times_seen", "month")
+
+
+@query("H03_monthly_state", _MONTHLY)
+def h03_monthly(spark, sf_dir):
+    """Each micro-batch writes the months and hashes it touches; every posting has one home."""
+    path, seen = _seen_months(spark, sf_dir)
+    return _seen_columns(seen)
+
+
+@query("H07_forget_months", _MONTHLY + " WHERE first_seen >= TIMESTAMP '2001-12-01' - INTERVAL 1500 DAY")
+def h07_monthly(spark, sf_dir):
+    """Folders of forgotten months removed, the bound's month pruned when read."""
+    path, seen = _seen_months(spark, sf_dir)
+    monthly.forget(spark, path, AS_OF, 1500)
+    return _seen_columns(monthly.read_seen(spark, path, seen.schema, AS_OF, 1500))
