@@ -2,8 +2,8 @@
 kind), ``phrases`` (phrase, cased, term) and ``implies`` (term, implied).
 
 Few terms are matched by one generated expression per term; a large library is
-matched by joining exploded word n-grams to its phrases, never by testing every
-phrase against every text.
+a trie that texts are walked over (``trie``), never by testing every phrase against
+every text.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col, each, either, let
 from ..session import checkpointed
+from .trie import match_library, tokens
 
-WORD = r"\.?[A-Za-z0-9+#]+(?:[.\-/&'][A-Za-z0-9+#]+)*"
 
 
 @dataclass(frozen=True)
@@ -57,10 +57,6 @@ def find_terms(text: Column | str, terms: Sequence[Term]) -> Column:
     return let(F.lower(F.coalesce(col(text), F.lit(""))), read)
 
 
-def tokens(text: Column | str) -> Column:
-    return F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(WORD), F.lit(0))
-
-
 def phrase_table(spark: SparkSession, terms: Sequence[Term]) -> DataFrame:
     rows = []
     for i, t in enumerate(terms):
@@ -85,71 +81,10 @@ def first_claims(aliases: DataFrame) -> DataFrame:
     )
 
 
-def ngrams(text: Column | str, longest: int) -> Column:
-    """array<struct<start, len, phrase>> of word n-grams up to ``longest``."""
-
-    def build(ws: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(ws))
-        return F.when(
-            F.size(ws) > 0,
-            F.flatten(
-                F.transform(
-                    starts,
-                    lambda i: F.transform(
-                        F.sequence(F.lit(1), F.least(F.lit(longest), F.size(ws) - i + 1)),
-                        lambda n: F.struct(
-                            i.alias("start"), n.alias("len"),
-                            F.array_join(F.slice(ws, i, n), " ").alias("phrase"),
-                        ),
-                    ),
-                )
-            ),
-        )
-
-    return let(tokens(text), build)
-
-
-def match_phrases(
-    texts: DataFrame, key: Sequence[str], text: str, phrases: DataFrame, longest: int
-) -> DataFrame:
+def match_phrases(texts: DataFrame, key: Sequence[str], text: str, phrases: DataFrame) -> DataFrame:
     """(key, term, n): longest phrase first from the left, no word counted
-    twice, exact case before case-blind.
-
-    The n-grams meet the phrases in an equi-join; only matches are gathered per
-    text, and a text's matches are bounded by its own words.
-    """
-    grams = each(texts, ngrams(text, longest), "g", *key).select(
-        *key, "g.*", F.lower("g.phrase").alias("low")
-    )
-    blind = phrases.filter(~F.col("cased")).select(F.col("phrase").alias("low"), F.col("term").alias("_t"))
-    exact = phrases.filter("cased").select("phrase", F.col("term").alias("_x"))
-    hit = (
-        grams.join(blind, "low", "left")
-        .join(exact, "phrase", "left")
-        .withColumn("term", F.coalesce("_x", "_t"))
-        .filter(F.col("term").isNotNull())
-    )
-    ordered = F.array_sort(
-        F.collect_list(F.struct("start", (-F.col("len")).alias("short"), "term"))
-    )
-    greedy = F.aggregate(
-        ordered,
-        F.struct(F.lit(1).alias("free"), F.array().cast("array<string>").alias("out")),
-        lambda s, m: F.when(m["start"] < s["free"], s).otherwise(
-            F.struct(
-                (m["start"] - m["short"]).alias("free"),
-                F.concat(s["out"], F.array(m["term"])).alias("out"),
-            )
-        ),
-        lambda s: s["out"],
-    )
-    return (
-        hit.groupBy(*key)
-        .agg(greedy.alias("terms"))
-        .select(*key, F.explode("terms").alias("term"))
-        .groupBy(*key, "term")
-        .agg(F.count("*").alias("n"))
-    )
+    twice, exact case before case-blind. Phrases may be of any length."""
+    return match_library(texts, key, text, phrases)
 
 
 def closure(implies: DataFrame) -> DataFrame:

@@ -119,21 +119,18 @@ def t08(spark, sf_dir):
 
 _TOK = r"\.?[A-Za-z0-9+#]+(?:[.\-/&''][A-Za-z0-9+#]+)*"
 _DOC_TOKENS = f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_TOK}')) AS w FROM documents),
-    l AS (SELECT doc_id, lower(w) AS w FROM t), v AS (SELECT w FROM l GROUP BY w ORDER BY count(*) DESC, w LIMIT 200)"""
+    l AS (SELECT doc_id, lower(w) AS w FROM t)"""
 
 
-def doc_vocabulary(spark, sf_dir, n=200):
-    """The commonest words of the corpus as a vocabulary: counted everywhere,
-    the top of the count is the vocabulary."""
-    d = table(spark, sf_dir, "documents").select(F.explode(vocab.tokens("text")).alias("w")).select(F.lower("w").alias("w"))
-    top = d.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(n)
-    return top.select(F.col("w").alias("phrase"), F.lit(False).alias("cased"), F.col("w").alias("term"))
+def doc_vocabulary(spark, sf_dir):
+    """Every word of the corpus as a vocabulary."""
+    d = table(spark, sf_dir, "documents").select(F.explode(vocab.tokens("text")).alias("w")).select(F.lower("w").alias("phrase")).distinct()
+    return d.select("phrase", F.lit(False).alias("cased"), F.col("phrase").alias("term"))
 
 
-@query("V01_term_counts", _DOC_TOKENS + " SELECT doc_id, w AS term, count(*) AS n FROM l WHERE w IN (SELECT w FROM v) GROUP BY doc_id, w")
+@query("V01_term_counts", _DOC_TOKENS + " SELECT doc_id, w AS term, count(*) AS n FROM l GROUP BY doc_id, w")
 def v01(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents"))
-    return vocab.match_phrases(docs, ["doc_id"], "text", doc_vocabulary(spark, sf_dir), 1)
+    return vocab.match_phrases(table(spark, sf_dir, "documents"), ["doc_id"], "text", doc_vocabulary(spark, sf_dir))
 
 
 @query("V01_find_terms", _J + """ SELECT jd, CASE shape WHEN 0 THEN 'excel:1,python:1,sql:1,tableau:1' WHEN 1 THEN CASE WHEN segment = 'BUILDING' THEN 'building:1,' ELSE '' END || 'excel:1,power-bi:1,sql:1'
@@ -143,14 +140,37 @@ def v01_find(spark, sf_dir):
     return jds(spark, sf_dir).select("jd", F.array_join(F.array_sort(F.transform(f, lambda t: F.concat(t["term"], F.lit(":"), t["n"].cast("string")))), ",").alias("found"))
 
 
-@query("V02_library_match")
+_CLAUSE = r"[.,!?;:\n]+"
+
+
+def benchmark_library(spark, sf_dir):
+    """The benchmark's words and whole clauses, and its capitalised words as written."""
+    b = table(spark, sf_dir, "benchmark")
+    clauses = b.select(F.explode(F.split("text", _CLAUSE)).alias("alias"))
+    words = b.select(F.explode(vocab.tokens("text")).alias("alias"))
+    blind = clauses.union(words).select("alias", F.lit(False).alias("cased"))
+    rows = blind.union(words.filter(F.col("alias").rlike("^[A-Z]")).select("alias", F.lit(True)))
+    phrase = vocab.normal_phrase(F.col("alias"), F.col("cased"))
+    named = rows.withColumn("term", F.concat(F.when(F.col("cased"), "x:").otherwise("b:"), phrase))
+    return vocab.first_claims(named.withColumn("priority", F.lit(0)))
+
+
+@query("V02_library_match", rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_TOK}') AS w FROM documents),
+    c AS (SELECT unnest(string_split_regex(text, '[.,!?;:
+]+')) AS c FROM benchmark), u AS (SELECT unnest(regexp_extract_all(text, '{_TOK}')) AS u FROM benchmark),
+    p AS (SELECT DISTINCT lower(array_to_string(regexp_extract_all(c, '{_TOK}'), ' ')) AS p FROM c UNION SELECT lower(u) FROM u),
+    b AS (SELECT p, split_part(p, ' ', 1) AS f, len(string_split(p, ' ')) AS n FROM p WHERE p <> ''), x AS (SELECT DISTINCT u AS x FROM u WHERE regexp_matches(u, '^[A-Z]')),
+    o AS (SELECT doc_id, w, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+    h AS (SELECT doc_id, i, n, 0 AS exact, 'b:' || p AS term FROM o JOIN b ON f = lower(word) WHERE lower(array_to_string(list_slice(w, i, i + n - 1), ' ')) = p
+        UNION ALL SELECT doc_id, i, 1, 1, 'x:' || x FROM o JOIN x ON x = word),
+    m AS (SELECT doc_id, i, max({{'n': n, 'exact': exact, 'term': term}}) AS m FROM h GROUP BY doc_id, i),
+    l AS (SELECT doc_id, list({{'s': i, 'n': m.n, 't': m.term, 'free': 0::BIGINT, 'out': CAST([] AS VARCHAR[])}} ORDER BY i) AS l FROM m GROUP BY doc_id),
+    g AS (SELECT doc_id, list_reduce(l, lambda a, e: CASE WHEN e.s < a.free THEN a ELSE {{'s': e.s, 'n': e.n, 't': e.t, 'free': e.s + e.n, 'out': list_append(a.out, e.t)}} END,
+        {{'s': 0::BIGINT, 'n': 0::BIGINT, 't': '', 'free': 0::BIGINT, 'out': CAST([] AS VARCHAR[])}}).out AS terms FROM l)
+    SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(terms) AS term FROM g) GROUP BY doc_id, term""")
 def v02(spark, sf_dir):
-    """Two-word phrases beat single words; the library is the corpus's own."""
-    docs = spread(table(spark, sf_dir, "documents"))
-    one = doc_vocabulary(spark, sf_dir, 100)
-    grams = docs.select(F.explode(vocab.ngrams("text", 2)).alias("g")).filter("g.len = 2").groupBy(F.lower("g.phrase").alias("p")).count()
-    two = grams.orderBy(F.desc("count"), "p").limit(100).select(F.col("p").alias("phrase"), F.lit(False).alias("cased"), F.concat(F.lit("2:"), "p").alias("term"))
-    return vocab.match_phrases(docs, ["doc_id"], "text", one.union(two), 2)
+    """Whole clauses beat words, capitalised words as written beat case-blind ones."""
+    return vocab.match_phrases(table(spark, sf_dir, "documents"), ["doc_id"], "text", benchmark_library(spark, sf_dir))
 
 
 def _edges(spark, sf_dir):
@@ -274,7 +294,7 @@ def v12(spark, sf_dir):
 @query("V13_evidence")
 def v13(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents"))
-    known = doc_vocabulary(spark, sf_dir, 50).select(F.col("phrase").alias("word"))
+    known = table(spark, sf_dir, "benchmark").select(F.explode(vocab.tokens("text")).alias("w")).select(F.lower("w").alias("word")).distinct()
     return vocab.evidence(docs, (Term("the", "The", "tool", ("the",)), Term("le", "Le", "tool", ("le", "la"))), known)
 
 

@@ -8,14 +8,14 @@ import re
 
 from pyspark.sql import functions as F
 
-from hirescope.operators import companies, skills, vocab
+from hirescope.operators import companies, skills, trie, vocab
 from hirescope.operators.vocab import Term
 from hirescope.sources import payloads, sinks
 
 
 def greedy(text, phrases, longest):
     """Leftmost, longest phrase first, no word counted twice."""
-    ws, out, i = re.findall(vocab.WORD, text), {}, 0
+    ws, out, i = re.findall(trie.WORD, text), {}, 0
     while i < len(ws):
         for n in range(min(longest, len(ws) - i), 0, -1):
             part = " ".join(ws[i:i + n])
@@ -38,7 +38,7 @@ def test_match_phrases_against_a_loop(spark):
     phrases = spark.createDataFrame([(p, c, t) for (p, c), t in table.items()], "phrase string, cased boolean, term string")
     df = spark.createDataFrame(texts, "id int, text string")
     got: dict = {}
-    for r in vocab.match_phrases(df, ["id"], "text", phrases, 3).collect():
+    for r in vocab.match_phrases(df, ["id"], "text", phrases).collect():
         got.setdefault(r["id"], {})[r["term"]] = r["n"]
     for i, text in texts:
         assert got.get(i, {}) == greedy(text, table, 3), text
@@ -143,3 +143,31 @@ def test_hosting_signatures(spark):
     df = spark.createDataFrame(rows, "u string, h string, a string, t string")
     for r in df.withColumn("g", companies.hosting("u", "h")).collect():
         assert (r["g"]["ats"], r["g"]["tenant"]) == (r["a"], r["t"]), r
+
+
+def test_the_trie_goes_on_only_from_live_prefixes(spark):
+    rng = random.Random(8)
+    words = ["a", "b", "c", "d", "e", "f", "A", "B"]
+    library = {(" ".join(rng.choice(words[:6]) for _ in range(rng.randint(1, 7))), False) for _ in range(25)} | {("A b", True), ("B", True)}
+    rows = [(p, c, f"{p}/{c}") for p, c in library]
+    phrases = spark.createDataFrame(rows, "phrase string, cased boolean, term string")
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60)))) for i in range(60)] + [(60, None), (61, "")]
+    texts += [(62, "a b c d " * 3000)]
+    df = spark.createDataFrame(texts, "id int, text string")
+    got: dict = {}
+    for r in vocab.match_phrases(df, ["id"], "text", phrases).collect():
+        got.setdefault(r["id"], {})[r["term"]] = r["n"]
+    table = {(p, c): t for p, c, t in rows}
+    for i, text in texts:
+        assert got.get(i, {}) == greedy(text or "", table, 7), i
+    edges = trie.phrase_trie(phrases)
+    sizes = [rows.count() for rows in trie.levels(df, ["id"], "text", edges)]
+    n_tokens = sum(len((t or "").split()) for _, t in texts)
+    # Only the ends of the library's longer phrases go on, and each level has fewer than live ones before.
+    assert len(sizes) <= 7 and all(n < n_tokens for n in sizes[1:])
+
+
+def test_matching_with_an_empty_library(spark):
+    phrases = spark.createDataFrame([], "phrase string, cased boolean, term string")
+    df = spark.createDataFrame([(1, "a b")], "id int, text string")
+    assert vocab.match_phrases(df, ["id"], "text", phrases).collect() == []
