@@ -319,15 +319,16 @@ def assess(candidates: DataFrame, peers: DataFrame, as_of, key: str = "posting_k
     )
 
 
-def estimate_salary(candidates: DataFrame, peers: DataFrame, as_of) -> DataFrame:
+def estimate_salary(candidates: DataFrame, peers: DataFrame, as_of, bands: DataFrame | None = None) -> DataFrame:
     """A band for postings that published none, from the narrowest pool
-    with eight lows and eight highs whose medians are in order."""
+    with eight lows and eight highs whose medians are in order. ``bands`` are pooled
+    ones made before, such as ``bands.sketched_bands``; else the peers' own."""
     same = candidates is peers
     peers = market_index(peers, as_of)
     # One row per pool, read once per rung: written, its size is known and the
     # rungs join by broadcast only while it is small.
     bands = written(
-        pooled_bands(peers).filter(
+        (pooled_bands(peers) if bands is None else bands).filter(
             (F.col("n_low") >= MIN_PEERS)
             & (F.col("n_high") >= MIN_PEERS)
             & (F.col("median_high") >= F.col("median_low"))

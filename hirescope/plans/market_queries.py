@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import history, market
+from ..operators import bands, history, market
+from ..session import scratch, written
 from .registry import query
 from .views import AS_OF, SIGHTINGS_SQL, applications, sightings
 
@@ -69,6 +70,24 @@ def a03(spark, sf_dir):
     return market.pooled_bands(market.with_market_columns(_peers(spark, sf_dir), AS_OF))
 
 
+@query("A03_sketched_bands", _P + """, v AS (SELECT job_family, place, side, amount FROM (SELECT job_family, place, 'low' AS side, low AS amount FROM p UNION ALL SELECT job_family, place, 'high', high FROM p) WHERE amount IS NOT NULL)
+    SELECT CAST(grouping(job_family) AS INT) AS any_family, CAST(grouping(place) AS INT) AS any_place, job_family, place, side, count(*) AS n, true AS within FROM v
+    GROUP BY GROUPING SETS ((job_family, place, side), (job_family, side), (place, side), (side))""")
+def a03_sketched(spark, sf_dir):
+    """Sketches stored by day and merged: counts, and whether each median's true rank is
+    within twice the published error."""
+    p = market.with_market_columns(_peers(spark, sf_dir), AS_OF)
+    # A folder for each month: the sketches of a month of this table are as small as a day's would be at size.
+    peers = written(p.select(F.date_format("run_ts", "yyyy-MM").alias("day"), *market.GROUP, "low", "high"), "peers")
+    path = scratch(spark, "sketches")
+    bands.store_days(peers, path)
+    merged = bands.merged_bands(bands.read_days(spark, path))
+    error = 2 * bands.rank_error()
+    ranks = bands.true_ranks(merged, peers)
+    return ranks.select("any_family", "any_place", "job_family", "place", "side", "n",
+                        ((F.col("below") <= 0.5 + error) & (F.col("upto") >= 0.5 - error)).alias("within"))
+
+
 @query("A04_midrank", _P + """ SELECT posting_key, 1e2 * ((rank() OVER w - 1)
     + (count(*) OVER (PARTITION BY job_family, place, pay)) / 2e0)
     / count(*) OVER (PARTITION BY job_family, place) AS percentile
