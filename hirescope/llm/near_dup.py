@@ -45,8 +45,8 @@ WIDTH = SYMBOLS // CHUNKS
 SMALL, BLOCK = 32, 400
 #: Shingles that are multiplied at once.
 COLUMNS = 8_000
-#: Ids that may be sent to every executor; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows, and bytes of their texts, that may be sent to every executor; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 8_000_000
 
 _seeds = np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _XOR, _MUL = finish(_seeds)[:, None], (finish(_seeds + np.uint64(1)) | np.uint64(1))[:, None]
@@ -109,8 +109,10 @@ def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Sent to every executor if it is a written table of few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Sent to every executor if it is a written table of few rows and bytes; numbers take 8 bytes at most."""
+    sizes = [F.octet_length(c) if kind in ("string", "binary") else F.lit(8) for c, kind in df.dtypes]
+    n, size = df.agg(F.count("*"), F.sum(sum(sizes[1:], F.coalesce(sizes[0], F.lit(0))))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:

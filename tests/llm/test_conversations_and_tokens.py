@@ -15,6 +15,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 from hirescope.llm import alignment, byte_pairs, packing, repair  # noqa: E402
+from hirescope.llm.components import components  # noqa: E402
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -152,3 +153,21 @@ def test_packing_takes_special_tokens_as_the_vocabulary_does(prose):
     for text in texts:
         got = [int.from_bytes(x, "little") for x in zip(*[iter(ids(text))] * 4, strict=True)]
         assert got == library.encode(text, add_special_tokens=False).ids
+
+
+def test_components_of_hubs_paths_and_cycles(spark):
+    rng = random.Random(6)
+    for links in ([(i, i + 1) for i in range(70)], [(0, i) for i in range(1, 50)] + [(i, 60 - i) for i in range(1, 30)],
+                  [(rng.randrange(200), rng.randrange(200)) for _ in range(150)], [(5, 5), (7, 8), (8, 7)], []):
+        root = {x: x for pair in links for x in pair}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+        got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert got == {x: find(x) for x in root}
