@@ -47,32 +47,35 @@ ROWS, ROUNDS = 6_000_000, 48
 MEMORY = "400MB"
 
 _CONTRACT = """
-WITH RECURSIVE state(word, p, id, round) AS MATERIALIZED (
-    SELECT word, p, id, 0 FROM start
+WITH RECURSIVE state(place, id, round) AS MATERIALIZED (
+    SELECT word::BIGINT << 32 | p, id, 0 FROM start
     UNION ALL
     (WITH pairs AS (
-        SELECT word, id, round, row_number() OVER follow AS p, id::BIGINT << 32 | lead(id) OVER follow AS pair
-        FROM state WINDOW follow AS (PARTITION BY word ORDER BY p)
+        SELECT place, place >> 32 AS word, id, round, row_number() OVER follow AS nth, lead(place) OVER follow AS next,
+            CASE WHEN lead(place) OVER follow >> 32 = place >> 32 THEN id::BIGINT << 32 | lead(id) OVER follow END AS pair
+        FROM state WINDOW follow AS (ORDER BY place)
     ), ranked AS MATERIALIZED (
-        SELECT pairs.*, rank, alone, crossing FROM pairs LEFT JOIN merges USING (pair)
+        SELECT pairs.* EXCLUDE (pair), rank, alone, crossing FROM pairs LEFT JOIN merges USING (pair)
     ), least AS (
-        SELECT word, min(rank::BIGINT << 32 | p) AS first FROM ranked WHERE rank IS NOT NULL GROUP BY word
+        SELECT word, min(rank::BIGINT << 32 | (place & 4294967295)) AS first FROM ranked WHERE rank IS NOT NULL GROUP BY word
     ), marked AS MATERIALIZED (
-        SELECT ranked.*, coalesce(rank = first >> 32 AND (NOT alone OR p = first & 4294967295), false) AS hit
+        SELECT ranked.*, coalesce(rank = first >> 32 AND (NOT alone OR place & 4294967295 = first & 4294967295), false) AS hit
         FROM ranked JOIN least USING (word)
     ), every_second AS (
-        SELECT word, p FROM (SELECT word, p, row_number() OVER (PARTITION BY word, run ORDER BY p) AS n FROM (
-            SELECT word, p, p - row_number() OVER (PARTITION BY word ORDER BY p) AS run
+        SELECT place FROM (SELECT place, row_number() OVER (PARTITION BY word, run ORDER BY nth) AS n FROM (
+            SELECT place, word, nth, nth - row_number() OVER (PARTITION BY word ORDER BY nth) AS run
             FROM marked WHERE hit AND crossing)) WHERE n % 2 = 0
     ), taken AS (
-        SELECT word, p FROM marked WHERE hit AND (NOT crossing OR (word, p) NOT IN (FROM every_second))
+        SELECT next FROM marked WHERE hit AND (NOT crossing OR place NOT IN (FROM every_second))
     )
-    SELECT m.word, m.p, CASE WHEN m.hit THEN m.rank ELSE m.id END, m.round + 1
-    FROM marked m ANTI JOIN taken t ON m.word = t.word AND m.p = t.p + 1 WHERE m.round < {rounds})
+    SELECT m.place, CASE WHEN m.hit THEN m.rank ELSE m.id END, m.round + 1
+    FROM marked m ANTI JOIN taken t ON m.place = t.next WHERE m.round < {rounds})
+), last AS (
+    SELECT place >> 32 AS word, max(round) AS round FROM state GROUP BY 1
 )
-SELECT word, round, list(id ORDER BY p) AS ids
-FROM state JOIN (SELECT word, max(round) AS round FROM state GROUP BY word) USING (word, round)
-GROUP BY word, round ORDER BY word
+SELECT word, s.round AS round, list(id ORDER BY place) AS ids
+FROM state s JOIN last ON s.place >> 32 = word AND s.round = last.round
+GROUP BY word, s.round ORDER BY word
 """
 
 _DECODE = """
@@ -126,39 +129,42 @@ class Coder:
             self.db.execute(f"CREATE TABLE {name} AS FROM given")
             self.db.unregister("given")
 
-    def _contracted(self, words: list[np.ndarray]) -> list[np.ndarray]:
-        """The tokens of words, each given as the tokens of its bytes."""
-        done: list[np.ndarray] = list(words)
-        going = list(range(len(words)))
-        while going:
-            sizes = np.array([len(done[i]) for i in going])
+    def _contracted(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words, given as their bytes."""
+        done: list[bytes] = [b""] * len(words)
+        going, sizes = np.arange(len(words)), np.array([len(w) for w in words])
+        ids = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        while len(going):
             rounds = int(max(1, min(ROUNDS, ROWS // sizes.sum())))
             at = np.arange(sizes.sum()) - (sizes.cumsum() - sizes).repeat(sizes)
-            self.db.register("start", pa.table({
-                "word": np.array(going, np.int32).repeat(sizes), "p": at, "id": np.concatenate([done[i] for i in going])}))
+            self.db.register("start", pa.table({"word": going.repeat(sizes), "p": at, "id": ids}))
             found = self.db.sql(_CONTRACT.format(rounds=rounds)).to_arrow_table().combine_chunks()
             self.db.unregister("start")
-            ids = found["ids"].chunk(0) if found.num_rows else pa.array([], pa.list_(pa.int32()))
-            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-            going = []
-            for i, n, a, b in zip(found["word"].to_pylist(), found["round"].to_pylist(), ends, ends[1:], strict=False):
-                done[i] = flat[a:b]
-                if n == rounds:
-                    going.append(i)
+            lists = found["ids"].chunk(0)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<i4")
+            data, word = flat.tobytes(), found["word"].to_numpy()
+            for i, a, b in zip(word.tolist(), (4 * ends).tolist(), (4 * ends[1:]).tolist(), strict=False):
+                done[i] = data[a:b]
+            # A word that changed in the last round may change further.
+            more = found["round"].to_numpy() == rounds
+            sizes, going = np.diff(ends)[more], word[more]
+            ids = flat[more.repeat(np.diff(ends))]
         return done
 
     def _learn(self, words: Iterable[str]) -> None:
         group, size = [], 0
         for word in [*words, None]:
             if group and (word is None or size + len(word) > WORD_BYTES):
-                raw = [w.encode() for w in group]
-                tokens = self._contracted([self.single[np.frombuffer(r, np.uint8)] for r in raw])
-                self.known.update((w, t.astype("<i4").tobytes()) for w, t in zip(group, tokens, strict=True))
+                self.known.update(zip(group, self._contracted([w.encode() for w in group]), strict=True))
                 group, size = [], 0
             if word is not None:
                 group.append(word)
                 size += len(word)
 
+    def _words(self, unit: str) -> list[str]:
+        """A stretch cut by the pattern; a space and letters are one word of it."""
+        return [unit] if unit[:1] == " " and unit[1:].isalpha() else self.find(unit)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of texts.
 
@@ -179,7 +185,7 @@ class Coder:
             self.known.clear()
         known = self.known
         new = {u for found in units for u in found if u not in known}
-        parts = {u: self.find(u) for u in new}
+        parts = {u: self._words(u) for u in new}
         self._learn({w for found in parts.values() for w in found if w not in known})
         for unit, words in parts.items():
             if unit not in known:
