@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..operators import history
 from ..session import scratch
+from ..sources import feeds
 from ..sources import payloads as src
 from ..sources import sinks
 from .market_queries import ARCHIVE_SQL, keyed
@@ -186,6 +187,25 @@ def s13(spark, sf_dir):
     return src.weworkremotely(p).select("url", "title", "company", "location", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"))
 
 
+@query("S13_feed_items", _S + """, d AS (SELECT *, ord % 50 = 7 AS bad FROM s) SELECT url, CASE WHEN line = 1 THEN title ELSE 'Lead: ' || title END AS title, CASE WHEN line = 1 THEN '' ELSE company END AS company,
+    CASE WHEN line = 2 THEN 'Remote' ELSE place END AS location, posted_at, 'x & y' AS description FROM d WHERE NOT bad
+    UNION ALL SELECT url, NULL, NULL, NULL, NULL, NULL FROM d WHERE bad""")
+def s13_items(spark, sf_dir):
+    """Feeds read item by item, in several splits; broken items stand beside the postings."""
+    title = F.when(F.col("line") == 1, F.col("title")).otherwise(F.concat("company", F.lit(": Lead: "), "title"))
+    end = F.when(F.col("ord") % 50 == 7, F.lit("</desc></item>")).otherwise(F.lit("</description></item>"))
+    item = F.concat(F.lit("<item><link>"), "url", F.lit("</link><title><![CDATA["), title, F.lit("]]></title>"),
+                    F.when(F.col("line") != 2, F.concat(F.lit("<region>"), "place", F.lit("</region>"))).otherwise(F.lit("")),
+                    F.lit("<pubDate>"), F.date_format("posted_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate><description>&lt;p&gt;x &amp;amp; y&lt;/p&gt;"), end)
+    path = scratch(spark, "feeds")
+    sightings(spark, sf_dir).select(item.alias("value")).write.text(path)
+    rows = feeds.elements(spark, path, "item", feeds.RSS)
+    good = feeds.feed_postings(rows).select("url", "title", "company", "location", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), "description")
+    none = F.lit(None).cast("string")
+    bad = feeds.broken(rows).select(F.regexp_extract("raw", "<link>([^<]+)</link>", 1).alias("url"), none, none, none, F.lit(None).cast("timestamp_ntz"), none)
+    return good.union(bad)
+
+
 @query("S14_adzuna", _S + f" {_BASE}, place AS location, posted_at, CASE WHEN line % 2 = 0 THEN price END AS salary_min, true AS partial FROM s")
 def s14(spark, sf_dir):
     body = F.struct(F.array(F.struct("title", F.struct(F.col("company").alias("display_name")).alias("company"), F.col("url").alias("redirect_url"), F.struct(F.col("place").alias("display_name")).alias("location"),

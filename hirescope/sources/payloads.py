@@ -348,9 +348,16 @@ def sitemap(
         "company",
         F.regexp_extract("b", r"<loc>\s*([^<\s]+)\s*</loc>", 1).alias("url"),
         F.regexp_extract("b", r"<lastmod>\s*([^<\s]+)\s*</lastmod>", 1).alias("lastmod"),
-    ).filter(F.col("url").contains(job_path))
-    after = F.substring("url", F.instr("url", job_path) + len(job_path), F.lit(100_000))
-    rows = blocks.withColumn("p", slug_parts(after))
+    )
+    return link_postings(blocks, job_path, local_terms, keywords)
+
+
+def link_postings(links: DataFrame, job_path: str = "/job", local_terms: Sequence[str] = (),
+                  keywords: Sequence[str] = ()) -> DataFrame:
+    """Postings of links (company, url, lastmod)."""
+    jobs = links.filter(F.col("url").contains(job_path))
+    after = F.substring("url", F.instr("url", job_path) + len(job_path), F.length("url"))
+    rows = jobs.withColumn("p", slug_parts(after))
     if local_terms:
         hay = F.lower(F.concat_ws(" ", "p.title", "p.location"))
         rows = rows.filter(
@@ -600,7 +607,11 @@ def weworkremotely(payloads: DataFrame) -> DataFrame:
         data = F.regexp_extract(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", 1)
         return F.trim(F.when(raw.contains("<![CDATA["), data).otherwise(unescape(raw)))
 
-    rows = items.select(*[tag(n).alias(n) for n in ("title", "link", "region", "description", "pubDate")])
+    return feed_postings(items.select(*[tag(n).alias(n) for n in ("title", "link", "region", "description", "pubDate")]))
+
+
+def feed_postings(rows: DataFrame) -> DataFrame:
+    """Postings of feed items (title, link, region, description, pubDate)."""
     split = F.split("title", ": ", 2)
     two = (F.size(split) == 2) & (F.coalesce(F.try_element_at(split, F.lit(2)), F.lit("")) != "")
     return _postings(
