@@ -7,14 +7,13 @@ out move a word a little, not away. Landmark words give Nystrom features; a line
 machine over them is, put back, one weight for each subsequence of the landmarks, so
 scoring a word costs a look-up for each of its subsequences.
 
-A sentence is as toxic as its worst words, and a text as its worst sentences. A word is
-read as written, without what is not a letter, and joined where it stands spelled out
+A text is as toxic as its worst words. A word is read as written, without what is not a letter, and joined where it stands spelled out
 in single characters. Training takes a bounded sample of labelled texts
 (``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN``): words that stand, or whose stem stands, in toxic
 texts at least half of the time, and more often than chance gives, are the positives,
 words of clean texts the negatives; the machine then takes in the clean words it finds
 worst and is fitted again. A logistic curve turns the scores of a text's ``WORST`` worst
-places and its length into a probability.
+places and its length into a probability, which never falls as a place gets worse.
 
 Nulls: a null text is empty, and an empty text scores as one without toxic words. A
 null id is kept and never held out. Labels that are null are not used. Repeated rows
@@ -360,9 +359,8 @@ def _facts(rows: DataFrame, fitted: Machine) -> DataFrame:
     return mapped(rows, read, T.StructType([*fields, T.StructField("facts", T.ArrayType(T.DoubleType()))]))
 
 
-def _curve(facts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Logistic regression of the label on the facts, lightly held back."""
-    x = np.column_stack([facts, np.ones(len(facts))])
+def _logistic(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Logistic regression, lightly held back."""
     w = np.zeros(x.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -373,6 +371,23 @@ def _curve(facts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return w
 
 
+def _curve(facts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Logistic regression of the label on the facts that never falls as a place gets
+    worse: a place that would count against toxicity is left out, the worst such first.
+
+    A text's first places are mostly alike in toxic texts, so the plain fit may set
+    them against each other.
+    """
+    x = np.column_stack([facts, np.ones(len(facts))])
+    used = np.ones(x.shape[1], bool)
+    while True:
+        w = np.zeros(x.shape[1])
+        w[used] = _logistic(x[:, used], toxic)
+        if w[:WORST].min() >= 0:
+            return w
+        used[w[:WORST].argmin()] = False
+
+
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
