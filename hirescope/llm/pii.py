@@ -309,10 +309,18 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have; Spark doesn't tell upper case from lower."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with its findings taken out of the text; null texts stay null."""
-    terms = written(disclosing(docs, text_col).withColumnRenamed("key", "_key").withColumnRenamed("spans", "_terms"), "terms")
-
+    key, spans = (_fresh(docs, n) for n in ("_key", "_terms"))
+    terms = written(disclosing(docs, text_col).toDF(key, spans), "terms")
     place, width = docs.columns.index(text_col), len(docs.columns)
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,5 +333,5 @@ def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
         spans += [(x["start"], x["end"], x["kind"]) for x in extra or ()]
         return redacted(text, sorted(spans, key=lambda s: s[:2])) if spans else text
 
-    keyed = _keyed(docs, text_col).drop("_text").join(small(terms), "_key", "left")
-    return keyed.select(*docs.columns, "_terms").mapInArrow(redact, docs.schema)
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce(text_col, F.lit(""))))).join(small(terms), key, "left")
+    return keyed.select(*docs.columns, spans).mapInArrow(redact, docs.schema)

@@ -7,8 +7,8 @@ out move a word a little, not away. Landmark words give Nystrom features; a line
 machine over them is, put back, one weight for each subsequence of the landmarks, so
 scoring a word costs a look-up for each of its subsequences.
 
-A text is as toxic as its worst words. A word is read as written, without what is not a letter, and joined where it stands spelled out
-in single characters. Training takes a bounded sample of labelled texts
+A text is as toxic as its worst words. A word is read as written, without what is not a
+letter, and joined where it stands spelled out in single characters. Training takes a bounded sample of labelled texts
 (``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN``): words that stand, or whose stem stands, in toxic
 texts at least half of the time, and more often than chance gives, are the positives,
 words of clean texts the negatives; the machine then takes in the clean words it finds
