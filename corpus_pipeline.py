@@ -5,7 +5,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 All but the last return the columns of ``documents``; ``n_chars`` follows the text.
 Clean documents stay, also those without text. Every case that the operators define
 (nulls, empty and very long texts, repeated rows, empty tables, more columns) holds
-here too: repeated rows of one id are kept or dropped together.
+here too. Rows that repeat an id are one document: the least of them stays. Rows without
+an id are never duplicates. A table without ``n_chars`` goes without it.
 """
 
 from __future__ import annotations
@@ -31,12 +32,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     set_up(spark)
     groups = near_dup.near_duplicates(docs, size=SHINGLE, percent=SIMILAR)
     gone = written(groups.filter("NOT kept").select("doc_id").distinct(), "gone")
-    return docs.join(near_dup.small(gone), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(near_dup.small(gone), "doc_id", "left_anti").select(*docs.columns)
+    # Rows that repeat an id are one document, whose least row stays; other rows aren't moved for it.
+    repeated = written(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    one = kept.join(near_dup.small(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(near_dup.small(repeated), "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def take_out_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     set_up(spark)
     clean = pii.sanitised(docs)
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -52,7 +60,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No stage but the last can be said in SQL: see the brute-force tests.
+#: No stage but the last can be said in SQL: see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 

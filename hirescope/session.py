@@ -37,7 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named
     warehouse = spark.conf.get("spark.sql.warehouse.dir")
-    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+    one_process = spark.sparkContext.master.split("[")[0] == "local"  # local-cluster has executors of its own
+    if warehouse.startswith(("file:", "/")) and not one_process:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{warehouse.rstrip('/')}/_scratch"
 
