@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -78,7 +79,6 @@ def test_near_duplicates_odd(spark):
 
 def test_packing(spark):
     coder = Tokenizer.from_file(BYTES)
-    coder.encode_special_tokens = True
     got = packing.packed(table(spark, ODD), BYTES).collect()
     want = Counter()
     for key, text in ODD:
@@ -94,6 +94,13 @@ def test_packing(spark):
     for (key, n), times in want.items():
         lengths[key] += n * times
     assert by_doc == lengths
+    pieces_of = Counter()
+    for key, text in ODD:
+        ids = np.array([*coder.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(first, len(ids) + 1, 2048)] if len(ids) > first else [0, len(ids)]
+        pieces_of.update((key, n, a, b - a, zlib.crc32(ids[a:b].tobytes())) for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == pieces_of
     filled = defaultdict(list)
     for r in got:
         filled[r.sequence_id].append((r.offset, r.length))
@@ -109,10 +116,9 @@ def test_packing(spark):
 
 def test_ids_are_the_vocabularys():
     coder = Tokenizer.from_file(BYTES)
-    coder.encode_special_tokens = True
     ours, rng = packing.Ids(BYTES), random.Random(1)
     for _ in range(400):
-        text = "".join(rng.choices(["a", "the", " ", "  ", "\n", "\t", "é", "'s", "12", "!", "　", "\x85", "x"], k=rng.randint(0, 25)))
+        text = "".join(rng.choices(["a", "the", " ", "  ", "<|endoftext|>", "\n", "\t", "é", "'s", "12", "!", "　", "\x85", "x"], k=rng.randint(0, 25)))
         assert np.frombuffer(ours(text), "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids
 
 
