@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from hirescope.llm.words import slices
 
-#: Words whose ids a worker remembers before it starts afresh.
+#: Words whose ids a worker remembers before it forgets the later half.
 ROOM = 600_000
 #: Characters of the texts, bytes of new words, and tokens to decode that one query takes.
 CHARS, WORD_BYTES, TOKENS = 3_000_000, 300_000, 1_000_000
@@ -182,9 +183,10 @@ class Coder:
                 first, *rest = text.split(" ")
                 units.append(([first] if first else []) + [" " + x for x in rest])
         if len(self.known) > ROOM:
-            self.known.clear()
+            # The words met first are the common ones.
+            self.known = dict(islice(self.known.items(), ROOM // 2))
         known = self.known
-        new = {u for found in units for u in found if u not in known}
+        new = set().union(*units) - known.keys()
         parts = {u: self._words(u) for u in new}
         self._learn({w for found in parts.values() for w in found if w not in known})
         for unit, words in parts.items():
