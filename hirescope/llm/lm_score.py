@@ -1,22 +1,27 @@
 """Stupid-backoff scores from n-gram counts of the whole corpus.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased. Documents are
-numbered into chunks of bounded size; a chunk's distinct words and word pairs, with
-their counts, are dealt to count tables by hash, summed there over all chunks, and
-the sums come back to the chunk's occurrences, which are scored and summed by
-document. A frequent n-gram is one entry a chunk, so no key is hot.
-
-A document is scored against all the others: its own counts are taken off first.
-With c the count of a pair and its context, and N that of words in the other
-documents, a word scores c(context, word) / c(context) where the pair is known, else
-BACKOFF * c(word) / N where the word is, else BACKOFF * BACKOFF / (N + 1). A
-document's first word has no context and no first BACKOFF. ``log_micro`` adds, for
-each word, the natural logarithm in millionths, rounded; ``score`` is its mean in
-natural units. ``n_known`` counts words scored by a known pair.
+numbered into blocks of bounded size. A block's distinct n-grams of one to ``order``
+words are exploded into rows (table, gram, block, count) and dealt to count tables by
+hash; a table counts its n-grams over all blocks and is joined to its own exploded
+rows, so both take one shuffle. The joined counts return to their block as one array
+a table, where occurrences are scored and summed by document. A frequent n-gram is one
+row a block, so no key is hot.
+
+A document is scored against all the others: its own counts are taken off first. With
+c the counts in the other documents and N their words, a word after the context of its
+longest known n-gram scores c(context, word) / c(context); a single word c(word) / N,
+an unknown one BACKOFF / (N + 1). Each word by which the context is shorter than the
+document allows (at most ``order`` - 1 words before it) costs a factor BACKOFF.
+``log_micro`` adds, for each word, the natural logarithm in millionths, rounded;
+``score`` is its mean in natural units. ``n_known`` counts words scored by a known
+n-gram of two words or more. N-grams are told apart by 64-bit hashes: of g distinct
+ones, some g * g / 2 ** 65 pairs share a count.
 
 Nulls: a null text is empty; empty texts have no words, ``log_micro`` 0 and a null
-score. A null id is kept. Repeated rows are documents of their own. An empty table
-gives no rows. Other columns are ignored.
+score. A null id is kept. Repeated rows are documents of their own, so a repeated text
+is known from its copy; ties play no part. A document longer than a block is a block
+of its own. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,137 +40,157 @@ from hirescope.llm.words import ascii_words, finish, mapped, word_hashes
 from hirescope.session import written
 
 BACKOFF = 0.4
-#: Words in a chunk (one document at least) and, on average, in a count table.
-CHUNK_WORDS, TABLE_WORDS = 500_000, 2_000_000
-_PAIR = np.uint64(0xBF58476D1CE4E5B9)
+#: Words in a block (one document at least) and, on average, in a count table.
+BLOCK_WORDS, TABLE_WORDS = 1_500_000, 2_500_000
+#: Exploded rows handed to Spark at a time.
+GRAM_ROWS = 200_000
+_CHAIN = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _packed(places: np.ndarray) -> bytes:
+    """32-bit numbers, compressed byte by byte: frequent words have small numbers."""
+    return zstandard.compress(places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``chunk``, ``doc_ids``, ``lengths``, ``places`` (of each word in ``vocabulary``),
-    ``vocabulary`` (sorted word hashes)."""
+    """``block``, ``doc_ids``, ``lengths``, ``places`` (of each word in ``vocabulary``),
+    ``vocabulary`` (word hashes, the block's most frequent first)."""
 
-    def chunk_of(ids: list, parts: list[np.ndarray]) -> dict:
-        words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        vocabulary, places = np.unique(words, return_inverse=True)
-        return {"chunk": uuid.uuid4().int >> 65, "doc_ids": ids, "lengths": np.array([len(p) for p in parts], np.int64),
-                "places": places.astype(np.uint32).tobytes(), "vocabulary": vocabulary.tobytes()}
+    def block_of(ids: list, parts: list[np.ndarray]) -> dict:
+        vocabulary, places, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        by_count = np.argsort(-n, kind="stable")
+        rank = np.empty(len(by_count), np.int64)
+        rank[by_count] = np.arange(len(by_count))
+        return {"block": uuid.uuid4().int >> 65, "doc_ids": ids, "lengths": np.array([len(p) for p in parts], np.int64),
+                "places": _packed(rank[places]), "vocabulary": vocabulary[by_count].tobytes()}
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, parts, n = [], [], 0
         for batch in batches:
             for key, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"], strict=True):
                 h = word_hashes(ascii_words(text))
-                if n and n + len(h) > CHUNK_WORDS:
-                    yield pd.DataFrame([chunk_of(ids, parts)])
+                if n and n + len(h) > BLOCK_WORDS:
+                    yield pd.DataFrame([block_of(ids, parts)])
                     ids, parts, n = [], [], 0
                 ids.append(key)
                 parts.append(h)
                 n += len(h) + 1
         if ids:
-            yield pd.DataFrame([chunk_of(ids, parts)])
+            yield pd.DataFrame([block_of(ids, parts)])
 
     return mapped(docs, number, T.StructType([
-        T.StructField("chunk", T.LongType()), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)),
+        T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)),
         T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("places", T.BinaryType()),
         T.StructField("vocabulary", T.BinaryType())]))
 
 
-class _Chunk:
-    """A chunk's words and pairs as places in its sorted distinct keys."""
+class _Order:
+    """A block's n-grams of one length: their hashes, counts, and each occurrence's place among them."""
+
+    def __init__(self, hashes: np.ndarray, ends: np.ndarray):
+        self.keys, self.place, self.counts = np.unique(hashes.view(np.int64), return_inverse=True, return_counts=True)
+        self.ends = ends  # the occurrence's last word, as a position in the block
+
+
+def _orders(lengths: np.ndarray, places: bytes, vocabulary: bytes, order: int) -> list[_Order]:
+    words = np.frombuffer(vocabulary, np.uint64)[_unpacked(places)]
+    position = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    grams, out = words, [_Order(words, np.arange(len(words)))]
+    for k in range(1, order):
+        ends = np.flatnonzero(position >= k)
+        longer = np.zeros(len(words), np.uint64)
+        longer[ends] = finish(grams[ends - 1] * _CHAIN + words[ends])
+        grams = longer
+        out.append(_Order(grams[ends], ends))
+    return out
+
 
-    def __init__(self, lengths, places: bytes, vocabulary: bytes):
-        self.lengths = np.asarray(lengths, np.int64)
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.word = np.frombuffer(places, np.uint32).astype(np.int64)
-        words = np.frombuffer(vocabulary, np.uint64)
-        inside = self.doc[1:] == self.doc[:-1] if len(self.doc) else np.zeros(0, bool)
-        self.second = np.flatnonzero(inside) + 1
-        pairs = finish(words[self.word[self.second - 1]] * _PAIR + words[self.word[self.second]])
-        pair_keys, self.pair = np.unique(pairs, return_inverse=True)
-        self.keys = (words, pair_keys)
-        self.counts = (np.bincount(self.word, minlength=len(words)), np.bincount(self.pair, minlength=len(pair_keys)))
+def _dealt(orders: list[_Order], tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All n-grams of a block by table, then gram: the order, the tables, the grams."""
+    keys = np.concatenate([o.keys for o in orders])
+    table = (keys.view(np.uint64) % np.uint64(tables)).astype(np.int32)
+    at = np.lexsort((keys, table))
+    return at, table[at], keys[at]
 
-    def by_table(self, order: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the keys sorted by table, then key; and each one's table."""
-        table = (self.keys[order] % np.uint64(tables)).astype(np.int64)
-        place = np.argsort(table, kind="stable")
-        return place, table[place]
 
+def exploded(blocks: DataFrame, order: int, tables: int) -> DataFrame:
+    """``table``, ``gram``, ``block``, ``own``: a row for each distinct n-gram of a block."""
 
-def _dealt(chunks: DataFrame, tables: int) -> DataFrame:
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                c = _Chunk(row.lengths, row.places, row.vocabulary)
-                for order in (0, 1):
-                    place, table = c.by_table(order, tables)
-                    cuts = np.flatnonzero(np.diff(table)) + 1
-                    keys, counts = np.split(c.keys[order][place], cuts), np.split(c.counts[order][place].astype(np.uint32), cuts)
-                    yield pd.DataFrame([(row.chunk, order, int(table[at]), k.tobytes(), n.tobytes()) for at, k, n in zip(
-                        [0, *cuts], keys, counts, strict=True) if len(k)], columns=["chunk", "n", "table", "keys", "counts"])
-
-    return mapped(chunks, deal, "chunk long, n int, table int, keys binary, counts binary")
-
-
-def _summed(group: pd.DataFrame) -> pd.DataFrame:
-    """A count table: the corpus count of every entry, in the entries' order."""
-    keys = np.concatenate([np.frombuffer(k, np.uint64) for k in group["keys"]])
-    counts = np.concatenate([np.frombuffer(n, np.uint32) for n in group["counts"]])
-    distinct, place = np.unique(keys, return_inverse=True)
-    total = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)[place]
-    cuts = np.cumsum([len(k) // 8 for k in group["keys"]])[:-1]
-    return pd.DataFrame({"chunk": group["chunk"], "n": group["n"], "table": group["table"],
-                         "totals": [t.tobytes() for t in np.split(total, cuts)]})
-
-
-def _scored(chunk: _Chunk, totals: list[np.ndarray], all_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Millionths of log scores, and known pairs, of each document."""
-    docs = len(chunk.lengths)
-
-    def others(place: np.ndarray, doc: np.ndarray, total: np.ndarray) -> np.ndarray:
-        _, at, own = np.unique(doc * (len(total) + 1) + place, return_inverse=True, return_counts=True)
-        return total[place] - own[at]
-
-    word = others(chunk.word, chunk.doc, totals[0])
-    rest = (all_words - chunk.lengths)[chunk.doc]
-    value = np.where(word > 0, word / np.maximum(rest, 1), BACKOFF / (rest + 1))
-    seen = np.zeros(len(word), bool)
-    if len(chunk.second):
-        pair = others(chunk.pair, chunk.doc[chunk.second], totals[1])
-        known = pair > 0
-        context = np.where(known, word[chunk.second - 1], 1)
-        value[chunk.second] = np.where(known, pair / context, BACKOFF * value[chunk.second])
-        seen[chunk.second] = known
+                orders = _orders(np.asarray(row.lengths, np.int64), row.places, row.vocabulary, order)
+                at, table, gram = _dealt(orders, tables)
+                own = np.concatenate([o.counts for o in orders])[at]
+                for i in range(0, len(at), GRAM_ROWS):
+                    part = slice(i, i + GRAM_ROWS)
+                    yield pd.DataFrame({"table": table[part], "gram": gram[part], "block": row.block, "own": own[part]})
+
+    return mapped(blocks, explode, T.StructType([T.StructField("table", T.IntegerType(), False), *(
+        T.StructField(c, T.LongType(), False) for c in ("gram", "block", "own"))]))
+
+
+def elsewhere(grams: DataFrame, tables: int) -> DataFrame:
+    """``block``, ``table``, ``counts``: what the other blocks count of a block's n-grams in a
+    table, in the order of the grams. Both sides of the join read the same four columns,
+    none of them null, so that they share one exchange."""
+    grams = grams.repartition(tables, "table")
+    shared = grams.groupBy("table", "gram").agg(
+        F.sum("own").alias("total"), F.min("block").alias("a"), F.max("block").alias("b")).filter("a < b").drop("a", "b")
+    others = F.coalesce(F.col("total") - F.col("own"), F.lit(0).cast("long"))
+    found = F.sort_array(F.collect_list(F.struct("gram", others.alias("others"))))
+    return grams.join(shared, ["table", "gram"], "left").groupBy("table", "block").agg(found["others"].alias("counts"))
+
+
+def _scored(lengths: np.ndarray, orders: list[_Order], corpus: list[np.ndarray], all_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Millionths of log scores, and words known with their context, of each document."""
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    rest = (all_words - lengths)[doc]
+    value, shorter, seen = np.zeros(0), np.zeros(0, np.int64), np.zeros(len(doc), bool)
+    for k, (grams, total) in enumerate(zip(orders, corpus, strict=True)):
+        own_key = doc[grams.ends] * (len(total) + 1) + grams.place
+        _, at, own = np.unique(own_key, return_inverse=True, return_counts=True)
+        count = total[grams.place] - own[at]
+        if k == 0:
+            value = np.where(count > 0, count / np.maximum(rest, 1), BACKOFF / (rest + 1))
+        else:
+            known = count > 0
+            value[grams.ends] = np.where(known, count / np.where(known, shorter[grams.ends - 1], 1), BACKOFF * value[grams.ends])
+            seen[grams.ends] |= known
+        shorter = np.zeros(len(doc), np.int64)
+        shorter[grams.ends] = count
     micro = np.rint(np.log(value) * 1e6)
-    return (np.bincount(chunk.doc, weights=micro, minlength=docs).astype(np.int64),
-            np.bincount(chunk.doc, weights=seen, minlength=docs).astype(np.int64))
+    return (np.bincount(doc, weights=micro, minlength=len(lengths)).astype(np.int64),
+            np.bincount(doc, weights=seen, minlength=len(lengths)).astype(np.int64))
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_known, log_micro, score."""
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
+    """doc_id, n_words, n_known, log_micro, score, by n-grams of at most ``order`` words."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = written(numbered(docs), "chunks")
-    all_words = chunks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    tables = max(16, -(-all_words // TABLE_WORDS))
-    totals = _dealt(chunks, tables).groupBy("n", "table").applyInPandas(
-        _summed, "chunk long, n int, table int, totals binary")
+    blocks = written(numbered(docs), "blocks")
+    all_words = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    tables = max(16, -(-all_words * order // (2 * TABLE_WORDS)))
+    counted = elsewhere(exploded(blocks, order, tables), tables)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
-        chunk = _Chunk(row["lengths"], row["places"], row["vocabulary"])
-        sums = []
-        for order in (0, 1):
-            own = right[right["n"] == order].sort_values("table")
-            place, _ = chunk.by_table(order, tables)
-            total = np.zeros(len(place), np.int64)
-            total[place] = np.frombuffer(b"".join(own["totals"]), np.int64)
-            sums.append(total)
-        micro, known = _scored(chunk, sums, all_words)
-        n = chunk.lengths
-        mean = [m / 1e6 / k if k else None for m, k in zip(micro.tolist(), n.tolist(), strict=True)]
-        return pd.DataFrame({"doc_id": pd.Series(list(row["doc_ids"]), dtype=object), "n_words": n, "n_known": known,
+        lengths = np.asarray(row["lengths"], np.int64)
+        orders = _orders(lengths, row["places"], row["vocabulary"], order)
+        at, _, _ = _dealt(orders, tables)
+        corpus = np.concatenate([o.counts for o in orders])
+        if len(at):
+            corpus[at] += np.concatenate(right.sort_values("table")["counts"].tolist())
+        cuts = np.cumsum([len(o.keys) for o in orders])[:-1]
+        micro, known = _scored(lengths, orders, np.split(corpus, cuts), all_words)
+        mean = [m / 1e6 / k if k else None for m, k in zip(micro.tolist(), lengths.tolist(), strict=True)]
+        return pd.DataFrame({"doc_id": pd.Series(list(row["doc_ids"]), dtype=object), "n_words": lengths, "n_known": known,
                              "log_micro": micro, "score": pd.Series(mean, dtype="float64")})
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(
         T.StructField(c, T.LongType()) for c in ("n_words", "n_known", "log_micro")), T.StructField("score", T.DoubleType())])
-    return chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInPandas(score, schema)
+    return blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(score, schema)

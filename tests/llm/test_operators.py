@@ -241,24 +241,55 @@ def test_neighbours(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).collect() == []
 
 
-def test_scores(spark, corpus, monkeypatch):
-    monkeypatch.setattr(lm_score, "CHUNK_WORDS", 300)
-    docs = corpus[:40] + [(200, None), (201, "only once")]
-    words = {i: (t or "").lower().split() for i, t in docs}
-    one, two = Counter(), Counter()
-    for w in words.values():
-        one.update(w)
-        two.update(zip(w, w[1:], strict=False))
-    total = sum(one.values())
-    for r in lm_score.scored(table(spark, docs)).collect():
-        w = words[r.doc_id]
-        own1, own2, micro = Counter(w), Counter(zip(w, w[1:], strict=False)), 0
-        for i, x in enumerate(w):
-            pair = two[w[i - 1], x] - own2[w[i - 1], x] if i else 0
-            value = (one[x] - own1[x]) / (total - len(w)) if one[x] > own1[x] else 0.4 / (total - len(w) + 1)
-            value = pair / (one[w[i - 1]] - own1[w[i - 1]]) if pair else value * (0.4 if i else 1)
-            micro += round(math.log(value) * 1e6)
-        assert r.n_words == len(w) and abs(r.log_micro - micro) <= 1
+def _brute_scores(docs, order):
+    """Each document's words and millionths, counted against all the others."""
+    words = [(t or "").lower().split() for _, t in docs]
+    grams = [Counter(tuple(w[i:i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1)) for w in words]
+    every = sum(grams, Counter())
+    total = sum(map(len, words))
+    out = []
+    for (i, _), w, own in zip(docs, words, grams, strict=True):
+        micro = known = 0
+        for j in range(len(w)):
+            value = None
+            for k in range(min(order, j + 1), 0, -1):
+                gram = tuple(w[j - k + 1: j + 1])
+                context = every[gram[:-1]] - own[gram[:-1]] if k > 1 else total - len(w)
+                if every[gram] > own[gram]:
+                    value = (every[gram] - own[gram]) / context * 0.4 ** (min(order, j + 1) - k)
+                    known += k > 1
+                    break
+            micro += round(math.log(value or 0.4 ** min(order, j + 1) / (total - len(w) + 1)) * 1e6)
+        out.append((i, len(w), known, micro))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores(spark, corpus, monkeypatch, order):
+    monkeypatch.setattr(lm_score, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(lm_score, "GRAM_ROWS", 70)
+    docs = corpus[:40] + [(200, None), (201, "only once"), (None, corpus[0][1]), (7, "w1 w2 w1 w2 w1"), (7, "w1 w2 w1 w2 w1"), (8, "w3 " * 2000)]
+    got = [(r.doc_id, r.n_words, r.n_known, r.log_micro) for r in lm_score.scored(table(spark, docs), order=order).collect()]
+    for a, b in zip(sorted(got, key=str), sorted(_brute_scores(docs, order), key=str), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) <= 1 + a[1] // 100
+
+
+def test_scores_of_little(spark):
+    assert lm_score.scored(table(spark, [])).collect() == []
+    rows = lm_score.scored(table(spark, [(1, None), (None, ""), (2, " \n")])).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_known, r.log_micro, r.score) for r in rows) == [
+        (i, 0, 0, 0, None) for i in ("1", "2", "None")]
+    own = spark.createDataFrame([(1, "a b", 5, "x"), (2, "a b", 6, "y")], "doc_id long, text string, block long, gram string")
+    assert [r.n_known for r in lm_score.scored(own).collect()] == [1, 1]
+
+
+def test_counts_take_one_shuffle(spark, corpus):
+    """Rows and their count tables are joined where one exchange has put them."""
+    blocks = lm_score.written(lm_score.numbered(table(spark, corpus)), "blocks")
+    counted = lm_score.elsewhere(lm_score.exploded(blocks, 2, 16), 16)
+    counted.collect()
+    plan = counted._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("MapInArrow") == 1 and "Join" in plan
 
 
 def test_toxicity(spark):
