@@ -2,11 +2,11 @@
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased. Documents are
 numbered into blocks of bounded size. A block's distinct n-grams of one to ``order``
-words are exploded into rows (table, gram, block, count) and dealt to count tables by
-hash; a table counts its n-grams over all blocks and is joined to its own exploded
-rows, so both take one shuffle. The joined counts return to their block as one array
-a table, where occurrences are scored and summed by document. A frequent n-gram is one
-row a block, so no key is hot.
+words are dealt to count tables by hash, as a run for each table, and exploded there into
+rows (table, gram, block, count). The count of an n-gram over all blocks is joined to its
+rows in the same shuffle. The joined counts return to their block as one array a table,
+where occurrences are scored and summed by document. A frequent n-gram is one row a block,
+so no key is hot.
 
 A document is scored against all the others: its own counts are taken off first. With
 c the counts in the other documents and N their words, a word after the context of its
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +42,6 @@ from hirescope.session import written
 BACKOFF = 0.4
 #: Words in a block (one document at least) and, on average, in a count table.
 BLOCK_WORDS, TABLE_WORDS = 1_500_000, 2_500_000
-#: Exploded rows handed to Spark at a time.
-GRAM_ROWS = 200_000
 _CHAIN = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -118,33 +116,38 @@ def _dealt(orders: list[_Order], tables: int) -> tuple[np.ndarray, np.ndarray, n
     return at, table[at], keys[at]
 
 
-def exploded(blocks: DataFrame, order: int, tables: int) -> DataFrame:
-    """``table``, ``gram``, ``block``, ``own``: a row for each distinct n-gram of a block."""
+def dealt(blocks: DataFrame, order: int, tables: int) -> DataFrame:
+    """``table``, ``block``, ``grams``, ``counts``: a block's distinct n-grams that belong to a
+    table, ascending, and how often the block has each."""
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 orders = _orders(np.asarray(row.lengths, np.int64), row.places, row.vocabulary, order)
                 at, table, gram = _dealt(orders, tables)
                 own = np.concatenate([o.counts for o in orders])[at]
-                for i in range(0, len(at), GRAM_ROWS):
-                    part = slice(i, i + GRAM_ROWS)
-                    yield pd.DataFrame({"table": table[part], "gram": gram[part], "block": row.block, "own": own[part]})
+                cuts = np.flatnonzero(np.diff(table)) + 1
+                for first, grams, counts in zip([0, *cuts], np.split(gram, cuts), np.split(own, cuts), strict=True):
+                    if len(grams):
+                        yield pd.DataFrame({"table": [table[first]], "block": [row.block], "grams": [grams], "counts": [counts]})
 
-    return mapped(blocks, explode, T.StructType([T.StructField("table", T.IntegerType(), False), *(
-        T.StructField(c, T.LongType(), False) for c in ("gram", "block", "own"))]))
+    longs = T.ArrayType(T.LongType(), False)
+    return mapped(blocks, deal, T.StructType([
+        T.StructField("table", T.IntegerType(), False), T.StructField("block", T.LongType(), False),
+        T.StructField("grams", longs, False), T.StructField("counts", longs, False)]))
 
 
-def elsewhere(grams: DataFrame, tables: int) -> DataFrame:
+def elsewhere(runs: DataFrame, tables: int) -> DataFrame:
     """``block``, ``table``, ``counts``: what the other blocks count of a block's n-grams in a
-    table, in the order of the grams. Both sides of the join read the same four columns,
-    none of them null, so that they share one exchange."""
-    grams = grams.repartition(tables, "table")
-    shared = grams.groupBy("table", "gram").agg(
-        F.sum("own").alias("total"), F.min("block").alias("a"), F.max("block").alias("b")).filter("a < b").drop("a", "b")
-    others = F.coalesce(F.col("total") - F.col("own"), F.lit(0).cast("long"))
-    found = F.sort_array(F.collect_list(F.struct("gram", others.alias("others"))))
-    return grams.join(shared, ["table", "gram"], "left").groupBy("table", "block").agg(found["others"].alias("counts"))
+    table, in the order of the grams. The runs are exploded where their table is; a window
+    over (table, gram) joins an n-gram's count to its rows, at most one a block, and the
+    arrays form by (table, block): all three by the one exchange on the table. (A join by
+    table and gram would deal the exploded rows a second time.)"""
+    zipped = F.arrays_zip(F.col("grams").alias("gram"), F.col("counts").alias("own"))
+    exploded = runs.repartition(tables, "table").select("table", "block", F.inline(zipped).alias("gram", "own"))
+    others = F.sum("own").over(Window.partitionBy("table", "gram")) - F.col("own")
+    found = F.sort_array(F.collect_list(F.struct("gram", "others")))
+    return exploded.withColumn("others", others).groupBy("table", "block").agg(found["others"].alias("counts"))
 
 
 def _scored(lengths: np.ndarray, orders: list[_Order], corpus: list[np.ndarray], all_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +178,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     blocks = written(numbered(docs), "blocks")
     all_words = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     tables = max(16, -(-all_words * order // (2 * TABLE_WORDS)))
-    counted = elsewhere(exploded(blocks, order, tables), tables)
+    counted = elsewhere(dealt(blocks, order, tables), tables)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
