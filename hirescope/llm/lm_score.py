@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirescope.llm.words import ascii_words, finish, mapped, word_hashes
-from hirescope.session import written
+from hirescope.session import scratch
 
 BACKOFF = 0.4
 #: Words in a block (one document at least) and, on average, in a count table.
-BLOCK_WORDS, TABLE_WORDS = 1_500_000, 2_500_000
+BLOCK_WORDS, TABLE_WORDS = 600_000, 1_000_000
 _CHAIN = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -87,6 +87,18 @@ def numbered(docs: DataFrame) -> DataFrame:
         T.StructField("vocabulary", T.BinaryType())]))
 
 
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The rows as a table in the shared folder, bucketed by ``key``: a later join by it moves
+    them no more. The catalog forgets the table at once; its files and this frame stay."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", scratch(spark, name)).saveAsTable(name)
+    rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
 class _Order:
     """A block's n-grams of one length: their hashes, counts, and each occurrence's place among them."""
 
@@ -108,24 +120,24 @@ def _orders(lengths: np.ndarray, places: bytes, vocabulary: bytes, order: int) -
     return out
 
 
-def _dealt(orders: list[_Order], tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All n-grams of a block by table, then gram: the order, the tables, the grams."""
-    keys = np.concatenate([o.keys for o in orders])
+def _dealt(orders: list[_Order], tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All n-grams of a block by table, count and gram (equal counts in a row take no room
+    in a shuffle): the order, the tables, the grams, the counts."""
+    keys, counts = (np.concatenate([getattr(o, name) for o in orders]) for name in ("keys", "counts"))
     table = (keys.view(np.uint64) % np.uint64(tables)).astype(np.int32)
-    at = np.lexsort((keys, table))
-    return at, table[at], keys[at]
+    at = np.lexsort((keys, counts, table))
+    return at, table[at], keys[at], counts[at]
 
 
 def dealt(blocks: DataFrame, order: int, tables: int) -> DataFrame:
     """``table``, ``block``, ``grams``, ``counts``: a block's distinct n-grams that belong to a
-    table, ascending, and how often the block has each."""
+    table, and how often the block has each; by count, then gram."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 orders = _orders(np.asarray(row.lengths, np.int64), row.places, row.vocabulary, order)
-                at, table, gram = _dealt(orders, tables)
-                own = np.concatenate([o.counts for o in orders])[at]
+                _, table, gram, own = _dealt(orders, tables)
                 cuts = np.flatnonzero(np.diff(table)) + 1
                 for first, grams, counts in zip([0, *cuts], np.split(gram, cuts), np.split(own, cuts), strict=True):
                     if len(grams):
@@ -139,14 +151,14 @@ def dealt(blocks: DataFrame, order: int, tables: int) -> DataFrame:
 
 def elsewhere(runs: DataFrame, tables: int) -> DataFrame:
     """``block``, ``table``, ``counts``: what the other blocks count of a block's n-grams in a
-    table, in the order of the grams. The runs are exploded where their table is; a window
+    table, in the order of its run. The runs are exploded where their table is; a window
     over (table, gram) joins an n-gram's count to its rows, at most one a block, and the
     arrays form by (table, block): all three by the one exchange on the table. (A join by
     table and gram would deal the exploded rows a second time.)"""
     zipped = F.arrays_zip(F.col("grams").alias("gram"), F.col("counts").alias("own"))
     exploded = runs.repartition(tables, "table").select("table", "block", F.inline(zipped).alias("gram", "own"))
     others = F.sum("own").over(Window.partitionBy("table", "gram")) - F.col("own")
-    found = F.sort_array(F.collect_list(F.struct("gram", "others")))
+    found = F.sort_array(F.collect_list(F.struct("own", "gram", "others")))
     return exploded.withColumn("others", others).groupBy("table", "block").agg(found["others"].alias("counts"))
 
 
@@ -175,7 +187,7 @@ def _scored(lengths: np.ndarray, orders: list[_Order], corpus: list[np.ndarray],
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
     """doc_id, n_words, n_known, log_micro, score, by n-grams of at most ``order`` words."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = written(numbered(docs), "blocks")
+    blocks = _bucketed(numbered(docs), "block")
     all_words = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     tables = max(16, -(-all_words * order // (2 * TABLE_WORDS)))
     counted = elsewhere(dealt(blocks, order, tables), tables)
@@ -184,10 +196,10 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
         row = left.iloc[0]
         lengths = np.asarray(row["lengths"], np.int64)
         orders = _orders(lengths, row["places"], row["vocabulary"], order)
-        at, _, _ = _dealt(orders, tables)
-        corpus = np.concatenate([o.counts for o in orders])
+        at, _, _, own = _dealt(orders, tables)
+        corpus = np.empty(len(at), np.int64)
         if len(at):
-            corpus[at] += np.concatenate(right.sort_values("table")["counts"].tolist())
+            corpus[at] = own + np.concatenate(right.sort_values("table")["counts"].tolist())
         cuts = np.cumsum([len(o.keys) for o in orders])[:-1]
         micro, known = _scored(lengths, orders, np.split(corpus, cuts), all_words)
         mean = [m / 1e6 / k if k else None for m, k in zip(micro.tolist(), lengths.tolist(), strict=True)]
