@@ -31,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirescope.llm.words import ascii_words, finish, mapped, word_hashes
+from hirescope.llm.words import ascii_words, finish, mapped
 from hirescope.session import scratch
 
 BACKOFF = 0.4
@@ -55,31 +56,39 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+class _Index(dict):
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``block``, ``doc_ids``, ``lengths``, ``places`` (of each word in ``vocabulary``),
     ``vocabulary`` (word hashes, the block's most frequent first)."""
 
-    def block_of(ids: list, parts: list[np.ndarray]) -> dict:
-        vocabulary, places, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        by_count = np.argsort(-n, kind="stable")
-        rank = np.empty(len(by_count), np.int64)
-        rank[by_count] = np.arange(len(by_count))
-        return {"block": uuid.uuid4().int >> 65, "doc_ids": ids, "lengths": np.array([len(p) for p in parts], np.int64),
-                "places": _packed(rank[places]), "vocabulary": vocabulary[by_count].tobytes()}
+    def block_of(ids: list, parts: list[np.ndarray], index: _Index) -> pd.DataFrame:
+        places = np.concatenate(parts)
+        by_count = np.argsort(-np.bincount(places, minlength=len(index)), kind="stable")
+        rank = np.empty(len(index), np.int64)
+        rank[by_count] = np.arange(len(index))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
+        return pd.DataFrame([{
+            "block": uuid.uuid4().int >> 65, "doc_ids": ids, "lengths": np.array([len(p) for p in parts], np.int64),
+            "places": _packed(rank[places]), "vocabulary": hashes[by_count].tobytes()}])
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, parts, n = [], [], 0
+        ids, parts, index, n = [], [], _Index(), 0
         for batch in batches:
             for key, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"], strict=True):
-                h = word_hashes(ascii_words(text))
-                if n and n + len(h) > BLOCK_WORDS:
-                    yield pd.DataFrame([block_of(ids, parts)])
-                    ids, parts, n = [], [], 0
+                words = ascii_words(text)
+                if n and n + len(words) > BLOCK_WORDS:
+                    yield block_of(ids, parts, index)
+                    ids, parts, index, n = [], [], _Index(), 0
                 ids.append(key)
-                parts.append(h)
-                n += len(h) + 1
+                parts.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+                n += len(words) + 1
         if ids:
-            yield pd.DataFrame([block_of(ids, parts)])
+            yield block_of(ids, parts, index)
 
     return mapped(docs, number, T.StructType([
         T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)),
@@ -102,21 +111,23 @@ def _bucketed(df: DataFrame, key: str) -> DataFrame:
 class _Order:
     """A block's n-grams of one length: their hashes, counts, and each occurrence's place among them."""
 
-    def __init__(self, hashes: np.ndarray, ends: np.ndarray):
-        self.keys, self.place, self.counts = np.unique(hashes.view(np.int64), return_inverse=True, return_counts=True)
+    def __init__(self, keys: np.ndarray, place: np.ndarray, counts: np.ndarray, ends: np.ndarray):
+        self.keys, self.place, self.counts = keys, place, counts
         self.ends = ends  # the occurrence's last word, as a position in the block
 
 
 def _orders(lengths: np.ndarray, places: bytes, vocabulary: bytes, order: int) -> list[_Order]:
-    words = np.frombuffer(vocabulary, np.uint64)[_unpacked(places)]
+    distinct, at = np.frombuffer(vocabulary, np.uint64), _unpacked(places)
+    words = distinct[at]
     position = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    grams, out = words, [_Order(words, np.arange(len(words)))]
+    out = [_Order(distinct.view(np.int64), at, np.bincount(at, minlength=len(distinct)), np.arange(len(words)))]
+    grams = words
     for k in range(1, order):
         ends = np.flatnonzero(position >= k)
         longer = np.zeros(len(words), np.uint64)
         longer[ends] = finish(grams[ends - 1] * _CHAIN + words[ends])
         grams = longer
-        out.append(_Order(grams[ends], ends))
+        out.append(_Order(*np.unique(grams[ends].view(np.int64), return_inverse=True, return_counts=True), ends))
     return out
 
 
@@ -125,7 +136,8 @@ def _dealt(orders: list[_Order], tables: int) -> tuple[np.ndarray, np.ndarray, n
     in a shuffle): the order, the tables, the grams, the counts."""
     keys, counts = (np.concatenate([getattr(o, name) for o in orders]) for name in ("keys", "counts"))
     table = (keys.view(np.uint64) % np.uint64(tables)).astype(np.int32)
-    at = np.lexsort((keys, counts, table))
+    at = np.argsort(keys, kind="stable")
+    at = at[np.argsort((table.astype(np.int64) << 40 | counts)[at], kind="stable")]
     return at, table[at], keys[at], counts[at]
 
 
@@ -152,14 +164,15 @@ def dealt(blocks: DataFrame, order: int, tables: int) -> DataFrame:
 def elsewhere(runs: DataFrame, tables: int) -> DataFrame:
     """``block``, ``table``, ``counts``: what the other blocks count of a block's n-grams in a
     table, in the order of its run. The runs are exploded where their table is; a window
-    over (table, gram) joins an n-gram's count to its rows, at most one a block, and the
-    arrays form by (table, block): all three by the one exchange on the table. (A join by
+    over (gram, table) joins an n-gram's count to its rows, at most one a block, and the
+    arrays form by (block, table): all three by the one exchange on the table. (A join by
     table and gram would deal the exploded rows a second time.)"""
     zipped = F.arrays_zip(F.col("grams").alias("gram"), F.col("counts").alias("own"))
-    exploded = runs.repartition(tables, "table").select("table", "block", F.inline(zipped).alias("gram", "own"))
-    others = F.sum("own").over(Window.partitionBy("table", "gram")) - F.col("own")
-    found = F.sort_array(F.collect_list(F.struct("own", "gram", "others")))
-    return exploded.withColumn("others", others).groupBy("table", "block").agg(found["others"].alias("counts"))
+    exploded = runs.repartition(tables, "table").select("table", "block", F.posexplode(zipped).alias("place", "entry")).select(
+        "table", "block", "place", "entry.gram", "entry.own")
+    others = F.sum("own").over(Window.partitionBy("gram", "table")) - F.col("own")
+    return exploded.select("table", "block", "place", others.alias("others")).groupBy("block", "table").agg(
+        F.sort_array(F.collect_list(F.struct("place", "others")))["others"].alias("counts"))
 
 
 def _scored(lengths: np.ndarray, orders: list[_Order], corpus: list[np.ndarray], all_words: int) -> tuple[np.ndarray, np.ndarray]:
