@@ -373,34 +373,64 @@ def merge_companies(candidates: DataFrame) -> DataFrame:
     )
 
 
+#: Words are looked up by so many of their first characters.
+GRAM = 8
+
+
 def confirm_sites(companies: DataFrame, pages: DataFrame, home_terms: Iterable[str]) -> DataFrame:
     """(name, host) where a fetched page belongs to the company: every
     distinctive word of the name is in the title, and a one-word name also
-    needs the home area in the body. Joined on the host."""
+    needs the home area in the body.
+
+    A host may have many pages and many names, so they are not joined on the host:
+    each name meets the titles that hold its rarest word. A word is letters and
+    digits, so it stands inside one such run of the title, and is looked up by its
+    first characters among the runs' pieces."""
     terms = [t.lower().strip() for t in home_terms if len(t.strip()) > 3]
     home = F.lit(False)
     for t in terms:
         home = home | F.col("_body").rlike(rf"\b{t}\b")
-    page = pages.select(
-        domain_of("url").alias("host"),
-        F.lower(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("_title"),
-        F.lower("html").alias("_body"),
-    ).filter((F.col("host") != "") & (F.col("_title") != ""))
+    page = (
+        pages.select(
+            domain_of("url").alias("host"),
+            F.lower(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("_title"),
+            F.lower("html").alias("_body"),
+        )
+        .filter((F.col("host") != "") & (F.col("_title") != ""))
+        .groupBy("host", "_title").agg(F.max(home).alias("_home"))
+    )
     words = core_words("name")
     strong = let(
         words,
         lambda ws: let(F.filter(ws, lambda w: F.length(w) > 3),
                        lambda s: F.when(F.size(s) > 0, s).otherwise(ws)),
     )
-    named = companies.select("name", domain_of("site").alias("host"), strong.alias("_strong"),
-                             F.size(words).alias("_n"))
+    named = companies.select("name", domain_of("site").alias("host"), F.array_distinct(strong).alias("_strong"),
+                             (F.size(words) > 1).alias("_many")).distinct().filter(F.size("_strong") > 0)
+    asked = named.select("host", F.explode("_strong").alias("_word")).distinct().withColumn("_gram", F.substring("_word", 1, GRAM))
+    runs = page.select("host", "_title", "_home", F.explode(F.array_distinct(
+        F.regexp_extract_all("_title", F.lit("[a-z0-9]+"), F.lit(0)))).alias("_run"))
+    pieces = runs.select("host", "_run").distinct().select("host", "_run", F.explode(F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.length("_run")),
+        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("_run") - i + 1)),
+                              lambda n: F.substring(F.col("_run"), i, n)),
+    )))).alias("_gram"))
+    held = asked.join(pieces, ["host", "_gram"]).filter(F.col("_run").contains(F.col("_word"))).select("host", "_word", "_run")
+    titles = held.join(runs, ["host", "_run"])
+    number = titles.groupBy("host", "_word").agg(F.count("*").alias("_n"))
+    # The rarest word decides which titles a name meets; a name with a word in no title meets none.
+    rarest = (
+        named.select("name", "host", "_strong", "_many", F.explode("_strong").alias("_word"))
+        .join(number, ["host", "_word"], "left")
+        .groupBy("name", "host", "_strong", "_many")
+        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_word").alias("word"))).alias("_least"))
+        .filter(F.col("_least.n") > 0)
+        .select("name", "host", "_strong", "_many", F.col("_least.word").alias("_word"))
+    )
+    met = titles.select("host", "_word", "_title", "_home").distinct()
     return (
-        named.join(page, "host")
-        .filter(
-            (F.size("_strong") > 0)
-            & F.forall("_strong", lambda w: F.col("_title").contains(w))
-            & ((F.col("_n") > 1) | home)
-        )
+        rarest.join(met, ["host", "_word"])
+        .filter(F.forall("_strong", lambda w: F.col("_title").contains(w)) & (F.col("_many") | F.col("_home")))
         .select("name", "host")
         .distinct()
     )
