@@ -14,6 +14,8 @@ from .views import AS_OF, SIGHTINGS_SQL, sightings, table
 
 #: Micro-batches of the queries whose rows must not depend on how the events come.
 FILES = 4
+#: Documents of a landed file, which one task writes.
+LANDED_ROWS = 250_000
 
 _E = """WITH e AS (SELECT user_id || '|' || event_type AS uid, ts, CAST(date_trunc('day', ts) AS TIMESTAMP) AS run_ts, CAST(floor(value) AS INT) AS score FROM events)"""
 
@@ -163,15 +165,17 @@ def _landing_lines(s: DataFrame) -> DataFrame:
     SELECT CASE ord % 50 WHEN 7 THEN NULL ELSE CAST(arrival AS VARCHAR) END AS id, CASE ord % 50 WHEN 7 THEN NULL WHEN 8 THEN 'carrier-pigeon' WHEN 9 THEN 'greenhouse' ELSE CASE line % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'recruitee' END END AS source,
     CASE WHEN reason IS NULL THEN title END AS title, CASE WHEN reason IS NULL THEN company END AS company, CASE WHEN reason IS NULL THEN posted_at END AS posted_at, reason FROM d""")
 def s20_landing(spark, sf_dir):
-    """Every sighting as a landed document in four files, a micro-batch each; the last
-    batch is then handed over again, as after a lost driver. Both tables, as one."""
+    """Every sighting as a landed document in four micro-batches of files of bounded size; the
+    last batch is then handed over again, as after a lost driver. Both tables, as one."""
     folder, out = scratch(spark, "landing"), scratch(spark, "landed")
-    _landing_lines(sightings(spark, sf_dir)).repartition(FILES).write.text(folder)
-    paths = f"{out}/postings", f"{out}/unreadable"
-    landing.land_all(spark, folder, *paths, f"{out}/checkpoint", files_per_batch=1)
-    again = spark.read.parquet(paths[1]).filter(F.col("batch") == FILES - 1).select("file").first()
-    if again is not None:
-        landing.land(*paths)(landing.landed(spark, again.file, stream=False), FILES - 1)
+    s = sightings(spark, sf_dir)
+    files = max(1, -(-s.count() // LANDED_ROWS // FILES))  # of a micro-batch
+    _landing_lines(s).repartition(FILES * files).write.text(folder)
+    paths, handed = (f"{out}/postings", f"{out}/unreadable"), {}
+    landing.land_all(spark, folder, *paths, f"{out}/checkpoint", files_per_batch=files, handed=handed)
+    if handed:
+        last = max(handed)
+        landing.land(*paths)(landing.landed(spark, handed[last], stream=False), last)
     postings, unreadable = (spark.read.parquet(p) for p in paths)
     none, when = F.lit(None).cast("string"), F.col("posted_at").cast("timestamp_ntz").alias("posted_at")
     good = postings.select(F.col("external_id").alias("id"), "source", "title", "company", when, none.alias("reason"))

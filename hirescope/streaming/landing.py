@@ -39,8 +39,8 @@ BROKEN, UNKNOWN, EMPTY, SHAPE = "not JSON", "unknown source", "no payload", "no
 Normaliser = Callable[[DataFrame], DataFrame]
 
 
-def landed(spark: SparkSession, folder: str, stream: bool = True, files_per_batch: int | None = None) -> DataFrame:
-    """The documents of a landing folder, one row for each line, with the file it is from."""
+def landed(spark: SparkSession, folder: str | list[str], stream: bool = True, files_per_batch: int | None = None) -> DataFrame:
+    """The documents of a landing folder (or, but for a stream, of files), one row for each line, with the file it is from."""
     reader = (spark.readStream if stream else spark.read).schema(struct(ENVELOPE)).option("columnNameOfCorruptRecord", CORRUPT)
     if stream and files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -80,14 +80,17 @@ def read_documents(documents: DataFrame, as_of=None) -> tuple[DataFrame, DataFra
     return conform(rows, POSTING), told.filter("reason IS NOT NULL").select("doc_id", "source", "reason", raw, "file")
 
 
-def land(postings: str, unreadable: str, as_of=None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes both tables. The batch is kept while it is read twice."""
+def land(postings: str, unreadable: str, as_of=None, handed: dict[int, list[str]] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes both tables. The batch is kept while it is read twice.
+    ``handed`` is told the files of each batch, for a batch that must be handed over again."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             for rows, path in zip(read_documents(batch, as_of), (postings, unreadable), strict=True):
                 rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            if handed is not None:
+                handed[batch_id] = sorted(r.file for r in batch.select("file").distinct().collect())
         finally:
             batch.unpersist()
 
@@ -95,11 +98,11 @@ def land(postings: str, unreadable: str, as_of=None) -> Callable[[DataFrame, int
 
 
 def land_all(spark: SparkSession, folder: str, postings: str, unreadable: str, checkpoint: str, as_of=None,
-             files_per_batch: int | None = None) -> None:
+             files_per_batch: int | None = None, handed: dict[int, list[str]] | None = None) -> None:
     """Land what is in the folder and not yet landed, then end. Called again, it goes on from its checkpoint."""
     query = (
         landed(spark, folder, files_per_batch=files_per_batch).writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(land(postings, unreadable, as_of)).start()
+        .trigger(availableNow=True).foreachBatch(land(postings, unreadable, as_of, handed)).start()
     )
     query.awaitTermination()
 
