@@ -11,6 +11,7 @@ from ..functions import keys
 from ..functions.pay import salary_text
 from ..operators.history import new_postings
 from ..schema import SNAPSHOT_DROPPED
+from ..session import written
 
 # --- fixed values ----------------------------------------------------------------------
 WIDTHS = {
@@ -34,9 +35,8 @@ def raw_rows(postings: DataFrame, run_stamp: str, collected_at, widths: dict[str
     """The pull as it came, text trimmed to the declared widths."""
     from ..operators.market import stamp
 
-    key = keys.dedupe_key()
-    df = postings.withColumns({
-        "dedupe_key": key, "uid": keys.uid(key), "run_stamp": F.lit(run_stamp),
+    df = postings.withColumn("dedupe_key", keys.dedupe_key()).withColumns({
+        "uid": keys.uid("dedupe_key"), "run_stamp": F.lit(run_stamp),
         "collected_at": stamp(collected_at),
     })
     cols = ("run_stamp", "collected_at", "dedupe_key", "uid", "source", "title", "company", "url",
@@ -58,6 +58,8 @@ def write_raw(raw: DataFrame, path: str, quarantine: str | None = None) -> None:
     bad row costs only itself, and none is dropped."""
     day = F.to_date("collected_at")
     good = (F.coalesce("uid", F.lit("")) != "") & (F.coalesce("dedupe_key", F.lit("")) != "")
+    # Both predicates would work every key out again: the rows are made once.
+    raw = written(raw, "raw-rows")
     raw.filter(good).withColumn("run_date", day).write.mode("append").partitionBy("run_date").parquet(path)
     bad_rows(raw).write.mode("append").parquet(quarantine or f"{path.rstrip('/')}-refused")
 
