@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hirescope.functions import keys
-from hirescope.operators import companies, skills
-from hirescope.plans import views
+from hirescope.functions import keys, text
+from hirescope.operators import companies, segment, skills
+from hirescope.plans import skill_queries, views
 from hirescope.sources import sinks
 from hirescope.streaming import landing
 
@@ -99,3 +99,33 @@ def test_the_files_of_a_batch_are_told(spark, tmp_path):
     landing.land(*paths)(landing.landed(spark, handed[0], stream=False), 0)
     assert before == [spark.read.parquet(p).groupBy("batch").count().orderBy("batch").collect() for p in paths[:1]]
     assert spark.read.parquet(paths[0]).count() == 30
+
+
+def test_barriers_read_sections_once(spark, monkeypatch):
+    read, own = [], segment.requirement_lines
+    monkeypatch.setattr(segment, "requirement_lines", lambda *a: read.append(a) or own(*a))
+    rows = [(str(i), "Acme", "Analyst", 50, i % 2 == 0, "Requirements:\n- 9 years of SQL\n- Excel") for i in range(6)]
+    posts = spark.createDataFrame(rows, "uid string, company string, title string, score int, applied boolean, description string")
+    monkeypatch.setattr(skill_queries, "jds", lambda *a: posts)
+    out = skill_queries.g05_barriers(spark, "").collect()
+    assert len(read) == 1
+    assert {(r["set"], r["label"], r["count"], r["pct"]) for r in out} == {
+        ("listed", "9+ years of experience", 6, 100.0), ("applied", "9+ years of experience", 3, 100.0)}
+
+
+def test_a_test_for_words_finds_what_the_words_find(spark):
+    words = ["what you need", "what you'll need", "you have", "a", "ab", "c++", ".net", "x-y", "[z", "eeo"]
+    texts = ["", "what you", "what you'll need", "we have", "you have it", "zab", "c+", "c++", "net", ".net", "x-", "x-y", "[z", "z", "see eeo"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for some in (words, [w for w in words if w != "a"], ["c++", "x-y"]):
+        got = {r.t for r in df.filter(F.col("t").rlike(text.anywhere(some))).collect()}
+        assert got == {t for t in texts if any(w in t for w in some)}
+
+
+def test_trimming_takes_what_the_pattern_takes(spark):
+    ends = ["", " ", "\n", "\r\n", "\t", "\u0085", " \u0085", "\u0085 ", " ", " ", " 　", "​", "\x1c", ":", ": ", "::\u0085"]
+    df = spark.createDataFrame([(a + b + c,) for a in ends for b in ("", "x", "x  y") for c in ends], "t string")
+    old = lambda c: F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    c = F.col("t")
+    bad = df.filter((segment.strip(c) != old(c)) | (segment.bare_title(c) != old(F.regexp_replace(old(c), ":+$", ""))))
+    assert bad.collect() == []
