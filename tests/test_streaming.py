@@ -129,3 +129,34 @@ def test_collapse_batches_merge(spark, tmp_path):
     want = sorted(history.collapse(spark.createDataFrame(rows, fields)).collect(), key=lambda r: r["dedupe_key"])
     assert got == want and [(r["source"], r["collapsed"]) for r in got] == [("workday", 2), ("workday", 1), ("adzuna", 0)]
     assert got[0]["description"] == "long body of a"
+
+
+def test_seen_stream_many_postings_of_a_bucket(spark, tmp_path):
+    """Postings are handled together, so that calls and readings of the state don't grow with them."""
+    path, calls = str(tmp_path / "in"), spark.sparkContext.accumulator(0)
+    uids = [None, "", "+", "-", *map(str, range(400))]
+    land(spark, path, 1, [row(u, d, d + 1, score=i % 90 + d) for i, u in enumerate(uids) for d in (3, 1)] + [row("0", 3, score=None), row("x", 200)])
+    land(spark, path, 2, [row(u, d, score=7) for u in uids[::2] for d in (3, 2)])
+    land(spark, path, 3, [row(u, 202) for u in uids])
+
+    class Counted(state.SeenProcessor):
+        def handleInputRows(self, key, rows, timerValues):
+            calls.add(1)
+            return super().handleInputRows(key, rows, timerValues)
+
+    kept, state.SeenProcessor = state.SeenProcessor, Counted
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = run(spark, state.seen_stream(source(spark, path), "0 seconds", buckets=4), tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        state.SeenProcessor = kept
+    assert calls.value <= 12
+    at = lambda d: dt.datetime(2026, 1, 1) + dt.timedelta(days=d)
+    found: dict = {}
+    for r in rows:
+        found.setdefault(r["uid"], []).append(tuple(r)[1:])
+    for i, u in enumerate(uids):
+        first, score = (at(1), at(3), 2, i % 90 + 3, at(1), True, False), max(i % 90 + 3, 7)
+        second = [(at(1), at(3), 3, score, None, False, False)] if i % 2 == 0 else []
+        assert found[u] == [first, *second, (at(202), at(202), 1, 50, None, True, False)]
