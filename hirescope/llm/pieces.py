@@ -48,6 +48,8 @@ class Pieces:
         self.byte_ids = [0] * 256
         self.scores = np.zeros(n)
         self.automaton = ahocorasick.Automaton()
+        #: Characters that are pieces: bytes cost more than these do, wherever they stand.
+        self.covered: set[str] = set()
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
         self.missing = min(model.get_score(i) for i in plain) - 10
         for i in range(n):
@@ -61,6 +63,8 @@ class Pieces:
                 raise ValueError("a piece holds a space mark after another character")
             self.texts[i], self.scores[i] = piece.replace(MARK, " ").encode(), score
             self.automaton.add_word(piece, (i, len(piece), score))
+            if len(piece) == 1:
+                self.covered.add(piece)
         self.automaton.make_automaton()
         segment = self.segment
 
@@ -80,6 +84,20 @@ class Pieces:
         stretch = stretch.replace(" ", MARK)
         n = len(stretch)
         best, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
+        ids: list[int] = []
+        if self.covered.issuperset(stretch):
+            for end, (piece, length, score) in self.automaton.iter(stretch):
+                end += 1
+                start = end - length
+                total, least = best[start] + score, best[end]
+                if total > least or (total == least and start < back[end][0]):
+                    best[end] = total
+                    back[end] = start, piece
+            while n:
+                n, piece = back[n]
+                ids.append(piece)
+            ids.reverse()
+            return array("I", ids).tobytes()
         at = 0
 
         def bytes_up_to(end: int) -> None:
@@ -97,7 +115,6 @@ class Pieces:
             if total > best[end + 1] or (total == best[end + 1] and start < back[end + 1][0]):
                 best[end + 1], back[end + 1] = total, (start, piece)
         bytes_up_to(n)
-        ids: list[int] = []
         while n:
             start, piece = back[n]
             ids += [piece] if piece >= 0 else [self.byte_ids[b] for b in reversed(stretch[start:n].encode("utf-8", "surrogatepass"))]

@@ -171,3 +171,16 @@ def test_components_of_hubs_paths_and_cycles(spark):
             root[q] = p
         got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
         assert got == {x: find(x) for x in root}
+
+
+def test_bytes_are_priced_only_where_needed():
+    """Stretches of characters that are pieces go without the price of bytes, and come out the same."""
+    from hirescope.llm import pieces, registered
+
+    v = pieces.Pieces(registered.PIECE_VOCABULARY)
+    words = [" the", " toothbrushes", "aaaaaaa", "   ", " 1999.", " Straßen,", "q"]
+    assert all(v.covered.issuperset(w.replace(" ", pieces.MARK)) for w in words)
+    missing, v.missing = v.missing, None
+    fast = [v.segment(w) for w in words]
+    v.missing, v.covered = missing, set()
+    assert fast == [v.segment(w) for w in words]
