@@ -4,8 +4,7 @@ A text is cut by the vocabulary's pattern, and each distinct word is encoded onc
 worker. The words of a batch become token-position rows, a row for each byte's token. A
 recursive DuckDB query joins neighbouring rows to the merge table and contracts each
 word's leftmost pair of the least rank, until no pair of any word is in the table.
-Decoding joins the ids to the vocabulary and puts the bytes together by position in an
-ordered aggregation.
+Decoding puts the bytes of a row's ids together, looked up in the vocabulary.
 
 Two things keep a long word from taking a round for each of its tokens, and neither
 changes a result:
@@ -79,10 +78,6 @@ FROM state s JOIN last ON s.place >> 32 = word AND s.round = last.round
 GROUP BY word, s.round ORDER BY word
 """
 
-_DECODE = """
-SELECT doc, string_agg(bytes, '' ORDER BY p) AS bytes FROM ids JOIN vocabulary USING (id) GROUP BY doc
-"""
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
@@ -109,6 +104,13 @@ def _merge_table(ranks: dict[bytes, int]) -> pa.Table:
         "alone": [r in alone for r in made], "crossing": [r in crossing for r in made]})
 
 
+class Tokens(dict):
+    """Bytes by id; none for an id outside the vocabulary."""
+
+    def __missing__(self, token: int) -> bytes:
+        return b""
+
+
 class Coder:
     """A worker's database with one vocabulary, and the ids of words seen so far."""
 
@@ -116,19 +118,16 @@ class Coder:
         import duckdb
         import regex
 
-        ranks = read_ranks(path)
+        ranks = self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
         self.unusual = regex.compile(r"\s (?:\s|\Z)").search
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
-        # Bytes are held as the characters of the same numbers, which can be put together as text.
-        self.vocabulary = pa.table({
-            "id": pa.array(ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in ranks]})
+        self.tokens = Tokens((rank, token) for token, rank in ranks.items())
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
-        for name, table in (("merges", _merge_table(ranks)), ("vocabulary", self.vocabulary)):
-            self.db.register("given", table)
-            self.db.execute(f"CREATE TABLE {name} AS FROM given")
-            self.db.unregister("given")
+        self.db.register("given", _merge_table(ranks))
+        self.db.execute("CREATE TABLE merges AS FROM given")
+        self.db.unregister("given")
 
     def _contracted(self, words: list[bytes]) -> list[bytes]:
         """The ids of words, given as their bytes."""
@@ -155,6 +154,11 @@ class Coder:
     def _learn(self, words: Iterable[str]) -> None:
         group, size = [], 0
         for word in [*words, None]:
+            # A word that is a token is that token, as in tiktoken.
+            token = None if word is None else self.ranks.get(word.encode())
+            if token is not None:
+                self.known[word] = token.to_bytes(4, "little")
+                continue
             if group and (word is None or size + len(word) > WORD_BYTES):
                 self.known.update(zip(group, self._contracted([w.encode() for w in group]), strict=True))
                 group, size = [], 0
@@ -196,18 +200,8 @@ class Coder:
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of sequences of ids."""
-        sizes = np.array([len(x) for x in ids], np.int64)
-        out = [b""] * len(ids)
-        if sizes.sum() == 0:
-            return out
-        at = np.arange(sizes.sum()) - (sizes.cumsum() - sizes).repeat(sizes)
-        self.db.register("ids", pa.table({
-            "doc": np.arange(len(ids)).repeat(sizes), "p": at, "id": np.concatenate(ids).astype(np.int32)}))
-        found = self.db.sql(_DECODE).to_arrow_table()
-        self.db.unregister("ids")
-        for doc, text in zip(found["doc"].to_pylist(), found["bytes"].to_pylist(), strict=True):
-            out[doc] = text.encode("latin-1")
-        return out
+        token = self.tokens.__getitem__
+        return [b"".join(map(token, x.tolist())) for x in ids]
 
 
 _coders: dict[tuple[str, str], Coder] = {}

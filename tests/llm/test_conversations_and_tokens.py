@@ -4,6 +4,7 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -184,3 +185,17 @@ def test_bytes_are_priced_only_where_needed():
     fast = [v.segment(w) for w in words]
     v.missing, v.covered = missing, set()
     assert fast == [v.segment(w) for w in words]
+
+
+def test_byte_pairs_ask_the_database_for_contractions_alone():
+    """Words that are tokens, and decoding, need no query."""
+    coder = byte_pairs.Coder(RANKS, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_pairs.read_ranks(RANKS), special_tokens={})
+    db, coder.db = coder.db, None
+    texts = [" the", "a the", ""]
+    ids = coder.encode(texts)
+    assert coder.decode([np.frombuffer(x, "<i4") for x in ids] + [np.array([-1, 10**6], np.int32)]) == [t.encode() for t in texts] + [b""]
+    coder.db = db
+    texts = [" thequickbrown ퟿ é", "zqxjkv  \n the 12345"]
+    ids += coder.encode(texts)
+    assert [np.frombuffer(x, "<i4").tolist() for x in ids[-2:]] == [library.encode(t) for t in texts]
