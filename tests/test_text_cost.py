@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hirescope.functions import pay, text
+from hirescope.operators import score
+from hirescope.profile import SAMPLE
 
 
 def test_amounts_are_read_once(spark):
@@ -25,3 +27,37 @@ def test_pieces_are_those_of_split(spark):
     df = spark.createDataFrame([(r,) for r in rows], "t string")
     got = df.select(text.pieces(F.col("t"), "[;.]").alias("mine"), F.split("t", "[;.]", -1).alias("theirs")).collect()
     assert [r.mine for r in got] == [r.theirs for r in got]
+
+
+def test_spans_come_of_one_reading(spark):
+    """A pattern ran three times over a text to tell where it matches."""
+    rows = ["", "none", "ab12cd3", "7", "\x015 and 6", "x\x01", None]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    found = df.select(text.spans(F.col("t"), r"\d+").alias("s"))
+    got = [None if r.s is None else [tuple(s) for s in r.s] for r in found.collect()]
+    assert got == [[], [], [(2, 4, "12"), (6, 7, "3")], [(0, 1, "7")], [(1, 2, "5"), (7, 8, "6")], [], None]
+    assert "$0" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_words_need_no_pattern(spark):
+    df = spark.createDataFrame([("a night shift",), ("a day",), (None,)], "t string")
+    out = df.select(text.mentions(F.col("t"), ("night", "late shift")).alias("m"))
+    assert [r.m for r in out.collect()] == [True, False, None]
+    assert "RLIKE" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocked_postings_need_no_rules(spark):
+    """Every rule ran for postings whose score is 0 for their block alone."""
+    rows = [("Senior Data Analyst", "Pay: $20/hr. Requirements: Terraform."), ("Data Analyst", "5 years required. SQL"), ("Data Analyst", "SQL")]
+    df = spark.createDataFrame(rows, "title string, description string")
+    scored = score.score_postings(df, SAMPLE, "2001-12-01 00:00:00")
+    out = scored.select("score", "tier", "reasons", "points").collect()
+    assert [(r.score, r.tier) for r in out[:2]] == [(0, "F"), (0, "F")] and out[0].reasons == ["title is out of band (senior)"]
+    assert [r.points for r in out[:2]] == [[], []] and out[2].points
+    wide = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", wide)
+    assert plan.count("CASE WHEN isnull(_gate#") >= 10
