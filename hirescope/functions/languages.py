@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import cut, let, mentions, spans
+from .text import anywhere, by_letter, cut, let, mentions, spans
 
 # --- fixed values: language names, names that cover each other, cue words --------
 LANGUAGES = (
@@ -27,19 +27,28 @@ COVERS = {
     "american sign language": ("sign language",), "creole": ("haitian creole",),
     "haitian creole": ("creole",),
 }
-NAME = r"\b(" + "|".join(LANGUAGES) + r")\b"
+NAMES = by_letter(LANGUAGES)
+NAME = NAMES[:NAMES.index("(?:")] + r"\b(" + NAMES + r")\b"
 CUE = (
-    r"(?:\b(?:fluen\w*|bilingual|proficien\w*|speak\w*|native|conversational|"
+    r"(?:(?=[bcfinoprstvw])\b(?:fluen\w*|bilingual|proficien\w*|speak\w*|native|conversational|"
     r"verbal|written|oral|read\w*|writ\w*|interpret\w*|translat\w*))"
 )
 SPOKEN = (
     CUE + r"(?:\W+\w+){0,3}?\W+(?:in\W+)?" + NAME,
     NAME + r"(?:\W+\w+){0,2}?\W+(?:speak\w*|speaker|fluen\w*|proficien\w*|language|"
     r"bilingual|required|is\s+required|a\s+must|skills?)\b",
-    r"\benglish\s*(?:/|and|&|\+)\s*" + NAME,
+    r"(?=e)\benglish\s*(?:/|and|&|\+)\s*" + NAME,
     NAME + r"\s*(?:/|and|&|\+)\s*english\b",
 )
-BILINGUAL = r"\bbilingual\b"
+#: Without one of these a pattern above finds nothing.
+SPOKEN_SIGNS = (
+    ("fluen", "bilingual", "proficien", "speak", "native", "conversational", "verbal", "written", "oral", "read",
+     "writ", "interpret", "translat"),
+    ("speak", "fluen", "proficien", "language", "bilingual", "required", "must", "skill"),
+    ("english",),
+    ("english",),
+)
+BILINGUAL = r"(?=b)\bbilingual\b"
 MUST = r"(?:required|requirement|must|mandatory|need\w*|essential)"
 SOFT = (
     r"(?:preferred|a\s+plus|is\s+a\s+plus|desired|nice\s+to\s+have|bonus|helpful|"
@@ -57,6 +66,9 @@ FRENCH_STEMS = (
     "spécialiste", "specialiste", "responsable de", "agent",
 )
 WINDOW, SOFT_BEFORE = 60, 25
+SPANS = "array<struct<begin:int,stop:int,hit:string>>"
+#: Where a word starts that begins like one of the names: what stands before is looked at first.
+SIGNS = "[^a-z]" + anywhere((*LANGUAGES, "bilingual", *FRENCH_STEMS))
 
 
 def spoken_set(languages: Iterable[str]) -> set[str]:
@@ -76,16 +88,16 @@ def _asks_in(text: Column, soft_half: bool) -> Column:
                 return F.lit(True)
             return cut(t, s["begin"] - SOFT_BEFORE, s["stop"] + WINDOW).rlike(SOFT)
 
-        def found_by(rx: str) -> Column:
+        def found_by(rx: str, signs: tuple[str, ...]) -> Column:
             return F.transform(
-                spans(t, rx),
+                F.when(mentions(t, signs), spans(t, rx)).otherwise(F.array().cast(SPANS)),
                 lambda s: F.struct(
                     s["begin"].alias("begin"), s["stop"].alias("stop"),
                     F.regexp_extract(s["hit"], rx, 1).alias("name"), soft(s).alias("soft"),
                 ),
             )
 
-        found = [found_by(rx) for rx in SPOKEN]
+        found = [found_by(rx, signs) for rx, signs in zip(SPOKEN, SPOKEN_SIGNS, strict=True)]
 
         def with_bare(named: Column) -> Column:
             bare = F.filter(
@@ -144,12 +156,10 @@ def language_asks(title: Column, binding: Column, tail: Column) -> Column:
         )
 
     # Most postings name no language, and one look settles that.
-    text = F.lower(F.concat_ws("\n", title, binding, tail))
+    text = F.lower(F.concat_ws("\n", F.lit(""), title, binding, tail))
     # Words that share their beginnings are looked for first, as the whole names cost
     # sixty tries at every word.
-    named = mentions(text, (*LANGUAGES, "bilingual", *FRENCH_STEMS)) & text.rlike(
-        NAME + "|" + BILINGUAL + "|" + FRENCH_TITLE
-    )
+    named = text.rlike(SIGNS) & text.rlike(NAME + "|" + BILINGUAL + "|" + FRENCH_TITLE)
     return F.when(named, let(every, split)).otherwise(none_asked)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hirescope.functions import pay, text
+from hirescope.functions import languages, pay, text
 from hirescope.operators import score
 from hirescope.profile import SAMPLE
 
@@ -61,3 +61,16 @@ def test_blocked_postings_need_no_rules(spark):
     finally:
         spark.conf.set("spark.sql.debug.maxToStringFields", wide)
     assert plan.count("CASE WHEN isnull(_gate#") >= 10
+
+
+def test_languages_are_told_from_where_words_start(spark):
+    """Sixty names were tried at every letter, and each pattern at every text with a name."""
+    rows = [("Office clerk", "Must speak French.", "", ["french"], []),
+            ("Analyste", "", "", ["french"], []), ("x", "bespanish required", "", [], []),
+            ("x", "Italian a\tmust", "hindi speaking", ["italian"], ["hindi"]),
+            ("\x01Polish speaker", "bilingual required", "", ["polish", "bilingual"], [])]
+    df = spark.createDataFrame([r[:3] for r in rows], "t string, b string, w string")
+    asked = df.select(languages.language_asks(F.col("t"), F.col("b"), F.col("w")).alias("x"))
+    assert [(list(r.x.must), list(r.x.nice)) for r in asked.collect()] == [r[3:] for r in rows]
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^a-z](?=[abc" in plan
