@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hirescope.functions import languages, pay, text
-from hirescope.operators import score
+from hirescope.operators import score, segment
 from hirescope.profile import SAMPLE
 
 
@@ -74,3 +74,22 @@ def test_languages_are_told_from_where_words_start(spark):
     assert [(list(r.x.must), list(r.x.nice)) for r in asked.collect()] == [r[3:] for r in rows]
     plan = asked._jdf.queryExecution().optimizedPlan().toString()
     assert "[^a-z](?=[abc" in plan
+
+
+def test_plain_ends_are_not_trimmed(spark):
+    """Trimming by a set of spaces took every line apart, character by character."""
+    rows = ["a", "", " a", "a ", " a b\n", "a\u0085", "é", " é ", "~", "\x7f", "\n", "a\u0085b"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    out = df.select(segment.strip(F.col("t")).alias("s"))
+    assert [r.s for r in out.collect()] == ["a", "", "a", "a", "a b", "a\u0085", "é", "é", "~", "\x7f", "", "a\u0085b"]
+    assert ">= !" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_headings_are_lowered_once_and_blocks_appended(spark):
+    """Each list of needles lowered the line anew, and each block copied its list through a lazy one."""
+    df = spark.createDataFrame([("What you’ll need:",), ("Nice to have",), ("Work experience",), ("We sell.",), ("",)], "t string")
+    out = df.select(segment.section_of("t").alias("s"))
+    assert [r.s for r in out.collect()] == ["required", "preferred", "required", None, None]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(lambda") == 2  # the needles' and the subjects'
+    blocks = df.select(segment._fold_blocks(segment._moves(F.array("t"))).alias("b"))
+    assert "concat(namedlambda" not in blocks._jdf.queryExecution().optimizedPlan().toString()
