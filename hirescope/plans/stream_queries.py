@@ -161,6 +161,12 @@ def _landing_lines(s: DataFrame) -> DataFrame:
     return s.select(F.when(fault == 7, F.substring(line, F.lit(1), F.length(line) - 9)).when(fault == 8, stray).when(fault == 9, bare).otherwise(line).alias("value"))
 
 
+def _land_files(lines: DataFrame, folder: str, files: int) -> None:
+    """Landed lines as files, compressed: as they are, they take six times the disk. No file
+    has more than some LANDED_ROWS lines, so that one that can't be split is a small task."""
+    lines.repartition(files).write.option("compression", "gzip").text(folder)
+
+
 @query("S20_landing_stream", f"""WITH s AS ({SIGHTINGS_SQL}), d AS (SELECT *, CASE ord % 50 WHEN 7 THEN 'not JSON' WHEN 8 THEN 'unknown source' WHEN 9 THEN 'no list of postings' END AS reason FROM s)
     SELECT CASE ord % 50 WHEN 7 THEN NULL ELSE CAST(arrival AS VARCHAR) END AS id, CASE ord % 50 WHEN 7 THEN NULL WHEN 8 THEN 'carrier-pigeon' WHEN 9 THEN 'greenhouse' ELSE CASE line % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'recruitee' END END AS source,
     CASE WHEN reason IS NULL THEN title END AS title, CASE WHEN reason IS NULL THEN company END AS company, CASE WHEN reason IS NULL THEN posted_at END AS posted_at, reason FROM d""")
@@ -170,7 +176,7 @@ def s20_landing(spark, sf_dir):
     folder, out = scratch(spark, "landing"), scratch(spark, "landed")
     s = sightings(spark, sf_dir)
     files = max(1, -(-s.count() // LANDED_ROWS // FILES))  # of a micro-batch
-    _landing_lines(s).repartition(FILES * files).write.text(folder)
+    _land_files(_landing_lines(s), folder, FILES * files)
     paths, handed = (f"{out}/postings", f"{out}/unreadable"), {}
     landing.land_all(spark, folder, *paths, f"{out}/checkpoint", files_per_batch=files, handed=handed)
     if handed:

@@ -63,6 +63,14 @@ def reason(known: list[str]) -> Column:
     return out
 
 
+def judged(documents: DataFrame, as_of=None) -> DataFrame:
+    """Documents with the reason why each can't be read, which takes parsing it; a frame
+    that has the reason passes through."""
+    if "reason" in documents.columns:
+        return documents
+    return documents.withColumn("reason", reason(list(normalisers(as_of))))
+
+
 def read_documents(documents: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame]:
     """Postings, and the documents that can't be read with the reason.
 
@@ -70,7 +78,7 @@ def read_documents(documents: DataFrame, as_of=None) -> tuple[DataFrame, DataFra
     for each normaliser, are all that comes to the driver.
     """
     known = normalisers(as_of)
-    told = documents.withColumn("reason", reason(list(known)))
+    told = judged(documents, as_of)
     good = told.filter("reason IS NULL")
     present = [r.source for r in good.select("source").distinct().collect()]
     parts = [known[name](good.filter(F.col("source") == name)) for name in sorted(present)]
@@ -81,11 +89,12 @@ def read_documents(documents: DataFrame, as_of=None) -> tuple[DataFrame, DataFra
 
 
 def land(postings: str, unreadable: str, as_of=None, handed: dict[int, list[str]] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes both tables. The batch is kept while it is read twice.
+    """A foreachBatch function that writes both tables. The batch is kept while it is read several
+    times, with its reasons, as each reading would parse every document for them.
     ``handed`` is told the files of each batch, for a batch that must be handed over again."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        batch = judged(batch, as_of).persist()
         try:
             for rows, path in zip(read_documents(batch, as_of), (postings, unreadable), strict=True):
                 rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
