@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hirescope.functions import languages, pay, text
+from hirescope.functions import keys, languages, pay, text
 from hirescope.operators import score, segment
 from hirescope.profile import SAMPLE
 
@@ -93,3 +93,17 @@ def test_headings_are_lowered_once_and_blocks_appended(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(lambda") == 2  # the needles' and the subjects'
     blocks = df.select(segment._fold_blocks(segment._moves(F.array("t"))).alias("b"))
     assert "concat(namedlambda" not in blocks._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_title_keys_split_without_patterns(spark):
+    """Split compiled its pattern for every title, and each trailing word was tested twice."""
+    rows = ["SCC - Data Analyst (Hybrid) | W2/1099 - Applicant Must Be Current Resident", "a\x01b (Remote) [x y] c",
+            "(Hybrid)", "", "Analyst - Remote 12345", "Senior  Data-Analyst, II"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    out = df.select(keys.repost_title("t").alias("r"), keys.market_role("t").alias("m"), keys.discovery_title("t").alias("d"))
+    assert [r.r for r in out.collect()] == ["data analyst", "a b x y c", "", "", "analyst", "senior data analyst ii"]
+    assert [r.m for r in out.collect()][5] == "data analyst" and [r.d for r in out.collect()][5] == "senior data analyst ii"
+    plan = df.select(text.word_list("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^a-z0-9]+" not in plan
+    last = df.select(text.trailing_dropped(F.split("t", " "), lambda w: w.rlike("QQ")))._jdf.queryExecution().optimizedPlan().toString()
+    assert last.count("RLIKE(lambda") == 1
