@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hirescope.functions import keys, languages, pay, text
 from hirescope.operators import score, segment
 from hirescope.profile import SAMPLE
+from hirescope.sources import payloads
 
 
 def test_amounts_are_read_once(spark):
@@ -107,3 +108,14 @@ def test_title_keys_split_without_patterns(spark):
     assert "[^a-z0-9]+" not in plan
     last = df.select(text.trailing_dropped(F.split("t", " "), lambda w: w.rlike("QQ")))._jdf.queryExecution().optimizedPlan().toString()
     assert last.count("RLIKE(lambda") == 1
+
+
+def test_slugs_are_read_once(spark):
+    """The filter on places read every slug anew, and what is left of a slug was cut off for each use."""
+    slugs = ["data-analyst-columbus-ohio-united-states", "lead-dev-west-virginia", "x", "dev-x-north-carolina-united-states"]
+    df = spark.createDataFrame([(f"<url><loc>https://j.org/jobs/{s}</loc></url>", "Acme") for s in slugs], "payload string, company string")
+    out = payloads.sitemap(df, "/jobs/", ("columbus", "carolina"), ("lead",)).select("title", "location")
+    assert sorted(tuple(r) for r in out.collect()) == [
+        ("Data Analyst", "Columbus, Ohio, United States"), ("Dev", "X, North Carolina, United States"), ("Lead", "Dev, West Virginia")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[0-9a-f]{12}") == 1
