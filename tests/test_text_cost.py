@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hirescope.functions import keys, languages, pay, text
-from hirescope.operators import score, segment
+from hirescope.operators import score, segment, skills
 from hirescope.profile import SAMPLE
 from hirescope.sources import payloads
 
@@ -119,3 +119,16 @@ def test_slugs_are_read_once(spark):
         ("Data Analyst", "Columbus, Ohio, United States"), ("Dev", "X, North Carolina, United States"), ("Lead", "Dev, West Virginia")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[0-9a-f]{12}") == 1
+
+
+def test_bullets_are_chosen_once(spark):
+    """The choice, a Python loop over parsed descriptions, ran once for the rows and once for their counts."""
+    rows = [("a", [("sql", 3), ("python", 1)]), ("b", [("sql", 1)]), (None, [("sql", 1)]), ("c", [])]
+    parsed = spark.createDataFrame(rows, "jd string, terms array<struct<term:string,weight:int>>")
+    bullets = [{"id": i, "parent": p, "tags": (t,), "priority": n} for i, p, t, n in (("x", "job", "sql", 2), ("y", "job", "python", 1), ("z", "side", "r", 1))]
+    entries = [{"id": "job", "min": 1, "max": 2}, {"id": "side", "min": 1, "max": 1}]
+    chosen = skills.select_bullets(parsed, bullets, entries, ("sql", "python", "r"), 3)
+    out = skills.drop_weakest(chosen, spark.createDataFrame([("job", 1), ("side", 1)], "entry string, floor int"))
+    assert sorted(tuple(r) for r in out.collect()) == [
+        ("a", "job", "y", 1.0, 1.0), ("b", "job", "y", 0.0, 0.0), ("c", "job", "x", 0.0, 0.0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
