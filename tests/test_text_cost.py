@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from hirescope.functions import keys, languages, pay, text
-from hirescope.operators import score, segment, skills
+from hirescope.operators import market, score, segment, skills
+from hirescope.plans import market_queries
 from hirescope.profile import SAMPLE
 from hirescope.sources import payloads
 
@@ -132,3 +134,19 @@ def test_bullets_are_chosen_once(spark):
     assert sorted(tuple(r) for r in out.collect()) == [
         ("a", "job", "y", 1.0, 1.0), ("b", "job", "y", 0.0, 0.0), ("c", "job", "x", 0.0, 0.0)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
+def test_value_counts_are_made_once(spark):
+    """Values were counted once for the buckets' totals and once more for the ranks, each with its shuffle."""
+    rows = [("f", "p", 10.0 * i, 1.0, 1, None) for i in range(4)] + [("f", "p", None, 2.0, 2, None)]
+    df = spark.createDataFrame(rows, "job_family string, place string, pay double, age double, reach int, crowd double")
+    peers = df.withColumn("role", F.lit("analyst"))
+    ranks = market.factor_ranks(df, peers)
+    got = {(r.factor, r.value): r.percentile for r in ranks.collect()}
+    assert got[("pay", 0.0)] == 12.5 and got[("pay", 30.0)] == 87.5 and got[("fresh", 2.0)] == 90.0 and got[("reach", 1.0)] == 40.0
+    assert "Union" not in ranks._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_last_columns_may_be_left_out(spark):
+    with pytest.raises(ValueError):
+        market_queries._peers(spark, "/nowhere", without=("brand",))
