@@ -150,3 +150,18 @@ def test_value_counts_are_made_once(spark):
 def test_only_last_columns_may_be_left_out(spark):
     with pytest.raises(ValueError):
         market_queries._peers(spark, "/nowhere", without=("brand",))
+
+
+def test_fields_of_a_node_are_read_together(spark):
+    """Every field was a path of its own, and one that leads nowhere ends in an exception."""
+    node = ('{"@type":"JobPosting","title":"A","datePosted":"2024-01-02","jobLocation":%s,"baseSalary":%s}')
+    rows = [('[{"address":{"addressLocality":"Akron","addressRegion":"OH"}}]', '{"value":[{"value":"$5,000","unitText":"MONTH"}]}'),
+            ('{"address":{"addressRegion":"OH"}}', '[{"value":{"minValue":30,"maxValue":"25","unitText":"HOUR"}}]'), ('"x"', "70000"), ("null", '{"value":"60000"}')]
+    pages = spark.createDataFrame(
+        [(i, f"u{i}", f'<script type="application/ld+json">{{"@graph":[{node % r}]}}</script>') for i, r in enumerate(rows)],
+        "page_id int, url string, html string")
+    out = payloads.postings_from_nodes(payloads.job_nodes(pages))
+    got = [(r.title, r.location, r.pay.lo, r.pay.hi) for r in out.orderBy("page_id").collect()]
+    assert got == [("A", "Akron, OH", 60000.0, 60000.0), ("A", "", 52000.0, 62400.0), ("A", "", None, None), ("A", "", 60000.0, 60000.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.jobLocation" not in plan and "$.value" not in plan
